@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_documents
 from .epochs import open_ledger, select_epoch_sample
+from .leaks import exact_leaks, find_leaks
 from .philox import philox_sql
 from .reservoir import fixed_size_sample
 from .topn import top_n
@@ -17,6 +19,7 @@ SCORE_LIMIT = 1.00001
 TOP_ITEMS = 10
 SAMPLE_BUDGET = 500
 FIXED_SAMPLE = 2_500
+RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +49,19 @@ def p6_top_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_items(spark, sf_dir).select("query_id", F.col("rank").cast("int").alias("rank"), "id", F.col("score").cast("double").alias("score"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_read(spark, sf_dir, "documents"), RANK_FILE)
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that repeats a passage of an item with at most one edit."""
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_leaks(p9_leaks(spark, sf_dir)).select("doc_id", "item_id")
+
+
 _TOP_SQL = f"""
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank, id, score::DOUBLE AS score
 FROM (SELECT query_id, id, max(score) AS score FROM search_results
@@ -72,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_fixed_sample": p5_fixed_sample,
         "p6_found": p6_found,
         "p6_top_items": p6_top_items,
+        "p8_ids": p8_ids,
+        "p9_found": p9_found,
+        "p9_leaks": p9_leaks,
     }
 
 
