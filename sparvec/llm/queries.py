@@ -12,6 +12,7 @@ from .epochs import open_ledger, select_epoch_sample
 from .leaks import exact_leaks, find_leaks
 from .philox import philox_sql
 from .reservoir import fixed_size_sample
+from .sentences import sentence_units, train
 from .topn import top_n
 
 SEED = 42
@@ -62,6 +63,20 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_leaks(p9_leaks(spark, sf_dir)).select("doc_id", "item_id")
 
 
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_units(documents, train(documents))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _units(spark, sf_dir).select("doc_id", "end_pos")
+
+
+def p10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit with its number in the post."""
+    return _units(spark, sf_dir)
+
+
 _TOP_SQL = f"""
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank, id, score::DOUBLE AS score
 FROM (SELECT query_id, id, max(score) AS score FROM search_results
@@ -91,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_ids": p8_ids,
         "p9_found": p9_found,
         "p9_leaks": p9_leaks,
+        "p10_found": p10_found,
+        "p10_units": p10_units,
     }
 
 
