@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .clusters import cluster_stats, describe_clusters, similarity_clusters
 from .epochs import open_ledger, select_epoch_sample
 from .leaks import exact_leaks, find_leaks
 from .philox import philox_sql
 from .reservoir import fixed_size_sample
 from .sentences import sentence_units, train
+from .subset import varied_subset
 from .topn import top_n
 
 SEED = 42
@@ -20,6 +22,7 @@ SCORE_LIMIT = 1.00001
 TOP_ITEMS = 10
 SAMPLE_BUDGET = 500
 FIXED_SAMPLE = 2_500
+SUBSET = 1_000
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -27,6 +30,29 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "glove_embeddings").select("vec_id", "vector")
+
+
+def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return varied_subset(_vectors(spark, sf_dir), SUBSET)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = similarity_clusters(_vectors(spark, sf_dir))
+    return members.select("group_id", F.col("id").alias("vec_id"))
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster's size and most typical members."""
+    return describe_clusters(similarity_clusters(_vectors(spark, sf_dir))[0])
+
+
+def p4_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clustering summarized like a recorded index build."""
+    return cluster_stats(*similarity_clusters(_vectors(spark, sf_dir)))
+
+
 def p2_stable_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _read(spark, sf_dir, "glove_embeddings").select("vec_id", "term", "piece_no")
     return select_epoch_sample(open_ledger(records, "vec_id", "piece_no", "term", SAMPLE_BUDGET), "vec_id", SEED)
@@ -99,7 +125,11 @@ _LEDGER_SQL = f"""
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_subset": p1_subset,
         "p2_stable_sample": p2_stable_sample,
+        "p4_found": p4_found,
+        "p4_clusters": p4_clusters,
+        "p4_stats": p4_stats,
         "p5_fixed_sample": p5_fixed_sample,
         "p6_found": p6_found,
         "p6_top_items": p6_top_items,
