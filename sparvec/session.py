@@ -2,8 +2,34 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the session's Python workers, once per application.
+
+    Needless where the package is installed on the cluster; harmless there.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="sparvec-code-"), "sparvec_code.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    at = os.path.join(folder, name)
+                    z.write(at, os.path.relpath(at, os.path.dirname(root)))
+    sc.addPyFile(path)  # served to the executors by the driver
+    _shipped.add(sc.applicationId)
+
 
 def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
     """A session for one machine; on a cluster the caller brings its own session."""
