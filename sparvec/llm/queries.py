@@ -11,6 +11,7 @@ from .bpe import encode_documents
 from .clusters import cluster_stats, describe_clusters, similarity_clusters
 from .epochs import open_ledger, select_epoch_sample
 from .leaks import exact_leaks, find_leaks
+from .neighbours import distinct_records, exact_neighbours, most_similar, neighbour_pairs
 from .philox import philox_sql
 from .reservoir import fixed_size_sample
 from .sentences import sentence_units, train
@@ -23,6 +24,10 @@ TOP_ITEMS = 10
 SAMPLE_BUDGET = 500
 FIXED_SAMPLE = 2_500
 SUBSET = 1_000
+NEIGHBOURS = 10
+PAIR_COSINE = 0.95
+PAIR_SEARCH = {"shard_rows": 8_192, "probes": 2, "degree": 16, "beam": 16}
+FULL_SEARCH = {"shard_rows": 32_768, "probes": 5, "degree": 28, "beam": 64}
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -38,6 +43,28 @@ def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return varied_subset(_vectors(spark, sf_dir), SUBSET)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs this similar lie in one cell or two neighbouring ones, so two probes and a short beam find them."""
+    return neighbour_pairs(most_similar(_vectors(spark, sf_dir), NEIGHBOURS, least_cos=PAIR_COSINE, **PAIR_SEARCH))
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar of every usable vector."""
+    return most_similar(_vectors(spark, sf_dir), NEIGHBOURS, **FULL_SEARCH)
+
+
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of p3_neighbours for every vec_id divisible by 50, against the exact scan of all rows."""
+    vectors = _vectors(spark, sf_dir)
+    records = distinct_records(vectors)
+    asked = records.where(F.col("id") % 50 == 0)
+    exact = exact_neighbours(records, asked, NEIGHBOURS, 50)
+    found = most_similar(vectors, NEIGHBOURS, **FULL_SEARCH).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "id"], "left").agg(
+        F.countDistinct("query_id").alias("queries"), F.count("*").alias("true_neighbours"), F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)).alias("recall")
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = similarity_clusters(_vectors(spark, sf_dir))
     return members.select("group_id", F.col("id").alias("vec_id"))
@@ -127,6 +154,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_subset": p1_subset,
         "p2_stable_sample": p2_stable_sample,
+        "p3_found": p3_found,
+        "p3_neighbours": p3_neighbours,
+        "p3_recall": p3_recall,
         "p4_found": p4_found,
         "p4_clusters": p4_clusters,
         "p4_stats": p4_stats,
