@@ -34,7 +34,7 @@ WITH l AS (SELECT line_id, file_no, line_no, trim(line, ' ' || chr(9) || chr(13)
            FROM glove_lines JOIN glove_files USING (file_no)
            WHERE line IS NOT NULL AND trim(line, ' ' || chr(9) || chr(13)) <> ''),
      f AS (SELECT *, CASE WHEN format = 'csv' AND NOT regexp_full_match(s, '{_FIELD}(,{_FIELD})*') THEN NULL
-                          WHEN format = 'csv' THEN regexp_extract_all(s, '(?:^|,)({_FIELD})', 1)
+                          WHEN format = 'csv' THEN regexp_extract_all(',' || s, ',({_FIELD})', 1)
                           ELSE regexp_split_to_array(s, '[ \t]+') END AS raw FROM l),
      g AS (SELECT *, list_transform(raw, lambda x: CASE WHEN format = 'csv' AND starts_with(trim(x, ' ' || chr(9)), '"')
                           THEN replace(trim(x, ' ' || chr(9))[2:-2], '""', '"')

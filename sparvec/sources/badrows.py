@@ -63,7 +63,8 @@ class LineSchema:
 
 def _fields(line: Column, csv: bool) -> Column:
     if csv:
-        return F.regexp_extract_all(line, F.lit(rf"(?:\A|,)({CSV_FIELD})"), F.lit(1))
+        # with a comma ahead no match is empty, so an empty first field is not passed over
+        return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(rf",({CSV_FIELD})"), F.lit(1))
     return F.split(line, r"[ \t]+")
 
 
