@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut
+from ..plans.storage import bounded, cut
 from .philox import with_philox
 
 
@@ -46,7 +46,7 @@ def open_ledger(records: DataFrame, id_col: str, epoch_col: str, payload: str, b
     if budget < 1:
         raise ValueError("budget must be at least 1")
     seen = cut(first_seen(records, id_col, epoch_col, payload), "seen")
-    return cut(seen.join(F.broadcast(epoch_rates(seen, budget)), "first_epoch").select(id_col, payload, "first_epoch", "rate"), "ledger")
+    return cut(seen.join(bounded(epoch_rates(seen, budget)), "first_epoch").select(id_col, payload, "first_epoch", "rate"), "ledger")
 
 
 def extend_ledger(ledger: DataFrame, piece: DataFrame, id_col: str, epoch_col: str, payload: str, budget: int) -> DataFrame:
@@ -58,12 +58,12 @@ def extend_ledger(ledger: DataFrame, piece: DataFrame, id_col: str, epoch_col: s
     new = cut(new, "new")
     frozen = ledger.groupBy("first_epoch").agg(F.min("rate").alias("rate"))
     sizes = ledger.groupBy("first_epoch").agg(F.count("*").alias("n")).unionByName(
-        new.join(F.broadcast(frozen), "first_epoch", "left_anti").groupBy("first_epoch").agg(F.count("*").alias("n"))
+        new.join(bounded(frozen), "first_epoch", "left_anti").groupBy("first_epoch").agg(F.count("*").alias("n"))
     )
     seen = F.sum("n").over(Window.orderBy("first_epoch").rowsBetween(Window.unboundedPreceding, 0))
     rates = sizes.select("first_epoch", F.least(F.lit(1.0), F.lit(float(budget)) / seen).alias("fresh"))
     rates = rates.join(frozen, "first_epoch", "left").select("first_epoch", F.coalesce("rate", "fresh").alias("rate"))
-    added = new.join(F.broadcast(rates), "first_epoch").select(id_col, payload, "first_epoch", "rate")
+    added = new.join(bounded(rates), "first_epoch").select(id_col, payload, "first_epoch", "rate")
     return cut(ledger.unionByName(added), "ledger")
 
 
