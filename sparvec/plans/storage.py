@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -33,3 +34,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/sparvec/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it holds at most ``rows`` rows, else as it is (the join then shuffles)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
