@@ -36,6 +36,8 @@ PROBES = 3
 DEGREE = 20
 BEAM = 32
 BROADCAST_ROWS = 200_000
+#: Tasks of the search stage at most; beyond it a task takes several shards, one after the other.
+MOST_PARTITIONS = 20_000
 
 
 def collapsed_copies(units: DataFrame, keep: int) -> DataFrame:
@@ -163,6 +165,7 @@ def most_similar(
     reps = held.select(F.col("ids")[0].alias("id"), "u")
     cells = fit_cells(reps, dims, rows, 1, shard_rows, seed=seed)
     asked = _routed(reps, cells, probes, dims)
+    asked = asked.repartition(min(cells.total, MOST_PARTITIONS), "shard")  # about a shard to a task
     found = asked.groupBy("shard").applyInArrow(_shard_search(dims, k, least_cos, degree, beam), "q long, r long, score double")
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("r").asc())
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
