@@ -85,8 +85,11 @@ def hash_bytes(u: bytes) -> int:
     return xxhash.xxh3_64_intdigest(u) - (1 << 63)
 
 
-def _routed(reps: DataFrame, cells: Cells, probes: int, dims: int) -> DataFrame:
-    """``(shard, home, id, u)``: each record in its own shard (home) and in every shard it asks."""
+def _routed(reps: DataFrame, cells: Cells, probes: int, dims: int, chunks: int) -> DataFrame:
+    """``(shard, home, ask, id, u)``: each record in its own shard (home) and in every shard it asks.
+
+    A shard's queries are split over ``chunks`` tasks, each of which holds the shard's own records.
+    """
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, shards = cells.first, cells.shards
@@ -95,17 +98,25 @@ def _routed(reps: DataFrame, cells: Cells, probes: int, dims: int) -> DataFrame:
             if not len(ids):
                 continue
             near = cells.nearest(x, probes)
-            own = first[near[:, 0]] + (spread(ids) % shards[near[:, 0]].astype(np.uint64)).astype(np.int64)
+            mix = spread(ids)
+            own = first[near[:, 0]] + (mix % shards[near[:, 0]].astype(np.uint64)).astype(np.int64)
+            turn = ((mix >> np.uint64(32)) % np.uint64(chunks)).astype(np.int64)
             for j in range(near.shape[1]):
                 cell = near[:, j]
                 for part in range(int(shards[cell].max())):
                     rows = np.nonzero(shards[cell] > part)[0]
                     shard = first[cell[rows]] + part
                     home = shard == own[rows]
-                    take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(home), b.column(0).take(take), b.column(1).take(take)], names=["shard", "home", "id", "u"])
+                    for chunk in range(chunks):
+                        ask = turn[rows] == chunk
+                        sent = np.nonzero(home | ask)[0]
+                        take = pa.array(rows[sent])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array((shard[sent] * chunks + chunk).astype(np.int32)), pa.array(home[sent]), pa.array(ask[sent]), b.column(0).take(take), b.column(1).take(take)],
+                            names=["shard", "home", "ask", "id", "u"],
+                        )
 
-    return reps.mapInArrow(route, "shard int, home boolean, id long, u binary")
+    return reps.mapInArrow(route, "shard int, home boolean, ask boolean, id long, u binary")
 
 
 def _shard_search(dims: int, k: int, least_cos: float, degree: int, beam: int):
@@ -117,12 +128,13 @@ def _shard_search(dims: int, k: int, least_cos: float, degree: int, beam: int):
         x = unpacked(table.column("u"), dims)
         order = np.lexsort((ids, ~home))  # the shard's own records first, by identifier
         ids, x, n = ids[order], np.ascontiguousarray(x[order]), int(home.sum())
-        if n == 0:
+        asking = np.nonzero(table.column("ask").to_numpy()[order])[0]
+        if n == 0 or not len(asking):
             return empty
         graph = Graph(x[:n], degree=degree, beam=beam)
         qs, rs, scores = [], [], []
-        for a in range(0, len(x), graph.block):
-            rows = np.arange(a, min(len(x), a + graph.block))
+        for a in range(0, len(asking), graph.block):
+            rows = asking[a : a + graph.block]
             for own in (True, False):
                 part = rows[(rows < n) == own]
                 if not len(part):
@@ -154,18 +166,19 @@ def most_similar(
     probes: int = PROBES,
     degree: int = DEGREE,
     beam: int = BEAM,
+    chunks: int = 1,
     seed: int = 42,
 ) -> DataFrame:
     """``(query_id, rank, id, score)``: up to ``k`` neighbours of every record with a cosine of ``least_cos`` or more."""
-    if k < 1:
-        raise ValueError("k must be at least 1")
+    if k < 1 or chunks < 1:
+        raise ValueError("k and chunks must be at least 1")
     units = usable_units(vectors, id_col, vector_col, dims)
     held = cut(collapsed_copies(units, k + 1), "records")
     rows = held.count()
     reps = held.select(F.col("ids")[0].alias("id"), "u")
     cells = fit_cells(reps, dims, rows, 1, shard_rows, seed=seed)
-    asked = _routed(reps, cells, probes, dims)
-    asked = asked.repartition(min(cells.total, MOST_PARTITIONS), "shard")  # about a shard to a task
+    asked = _routed(reps, cells, probes, dims, chunks)
+    asked = asked.repartition(min(cells.total * chunks, MOST_PARTITIONS), "shard")  # about a shard (or chunk of its queries) to a task
     found = asked.groupBy("shard").applyInArrow(_shard_search(dims, k, least_cos, degree, beam), "q long, r long, score double")
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("r").asc())
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -27,7 +27,7 @@ SUBSET = 1_000
 NEIGHBOURS = 10
 PAIR_COSINE = 0.95
 PAIR_SEARCH = {"shard_rows": 8_192, "probes": 2, "degree": 16, "beam": 16}
-FULL_SEARCH = {"shard_rows": 32_768, "probes": 5, "degree": 28, "beam": 64}
+FULL_SEARCH = {"shard_rows": 32_768, "probes": 5, "degree": 28, "beam": 64, "chunks": 3}
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 

@@ -139,6 +139,8 @@ def test_neighbours_against_brute_force(spark):
     found = most_similar(df, 5, dims=20, shard_rows=400, probes=3, degree=20, beam=48).persist()
     rows = found.collect()
     assert all(r["query_id"] != r["id"] and 1 <= r["rank"] <= 5 for r in rows) and len({(r["query_id"], r["id"]) for r in rows}) == len(rows)
+    split = most_similar(df, 5, dims=20, shard_rows=400, probes=3, degree=20, beam=48, chunks=3)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, rows))
     records = distinct_records(df, dims=20)
     exact = exact_neighbours(records, records, 5, 20, block=300)
     want = {(r["query_id"], r["id"]) for r in exact.collect()}
