@@ -52,7 +52,7 @@ def robust_prune(x: np.ndarray, base: np.ndarray, cand: np.ndarray, dist: np.nda
 class Graph:
     """Built over ``x`` (unit rows, float32)."""
 
-    def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 24, alpha: float = 1.3, block: int = 512, entries: int = 1024, grow: int = 8, seed: int = 42) -> None:
+    def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 24, alpha: float = 1.3, block: int = 256, entries: int = 1024, grow: int = 8, seed: int = 42) -> None:
         self.x, self.degree, self.beam, self.alpha, self.block = x, degree, beam, alpha, block
         n = len(x)
         self.slack = degree + degree // 2
