@@ -139,6 +139,17 @@ FROM (SELECT query_id, id, max(score) AS score FROM search_results
 QUALIFY rank <= {TOP_ITEMS}
 """
 
+# Exact: the operator is approximate, but finds all pairs of the small tables.
+_PAIR_SQL = f"""
+WITH d AS (SELECT vec_id AS id, any_value(vector) AS v FROM glove_embeddings
+           WHERE vec_id IS NOT NULL AND len(vector) = 50 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+             AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+     u AS MATERIALIZED (SELECT id, list_transform(v, lambda x: x::DOUBLE / sqrt(list_inner_product(v::DOUBLE[], v::DOUBLE[]))) AS v FROM d),
+     n AS (SELECT a.id AS q, b.id AS r, list_inner_product(a.v, b.v) AS s FROM u a, u b WHERE a.id <> b.id
+           QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_inner_product(a.v, b.v) DESC, b.id) <= {NEIGHBOURS})
+SELECT DISTINCT least(q, r) AS vec_id_a, greatest(q, r) AS vec_id_b FROM n WHERE s >= {PAIR_COSINE}
+"""
+
 _LEDGER_SQL = f"""
 (WITH f AS (SELECT vec_id, min(piece_no) AS first_epoch FROM glove_embeddings
             WHERE vec_id IS NOT NULL AND piece_no IS NOT NULL GROUP BY vec_id),
@@ -174,6 +185,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_stable_sample": f"SELECT * FROM ({philox_sql(_LEDGER_SQL, 'vec_id', SEED, ['vec_id', 'term', 'first_epoch', 'rate'])}) WHERE u < rate",
+        "p3_found": _PAIR_SQL,
         "p6_found": f"SELECT query_id, id FROM ({_TOP_SQL})",
         "p6_top_items": _TOP_SQL,
     }

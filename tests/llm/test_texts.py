@@ -179,6 +179,17 @@ def test_unit_cases(spark, model):
     assert fit([]).ends == {}
 
 
+def test_long_runs_take_no_square_time(model):
+    from time import perf_counter
+
+    from sparvec.llm.sentences import _spans
+
+    t = perf_counter()
+    for text in ("It broke." + " " * 200_000 + "It held.", "... " * 50_000 + "It broke.", "👍" * 100_000, "> " * 50_000, "\n" * 100_000, "It broke. " + "\xad" * 100_000):
+        _spans(text, model)
+    assert perf_counter() - t < 10
+
+
 def test_units_of_a_whole_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = sentence_units(docs, train(docs)).collect()
