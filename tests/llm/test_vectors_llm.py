@@ -113,6 +113,37 @@ def test_clusters_are_recovered(spark):
     assert s["max_size"] == 150 and s["min_size"] == 30 and s["empty_clusters"] == proposed - 8
 
 
+def scattered(rows, few, size, cells_of, d=50, seed=5):
+    """Half of the rows in large groups, ``few`` groups of ``size`` at a cosine of about 0.72 to their mean, the rest anywhere."""
+    rng = np.random.default_rng(seed)
+    big = unit(rng.standard_normal((cells_of, d)))
+    x = [unit(big[rng.integers(0, cells_of, rows // 2)] + 0.09 * rng.standard_normal((rows // 2, d)))]
+    c = unit(rng.standard_normal((few, d)))
+    x.append(unit(np.repeat(c, size, axis=0) + 0.135 * rng.standard_normal((few * size, d))))
+    x.append(unit(rng.standard_normal((rows - rows // 2 - few * size, d))))
+    return np.concatenate(x), [range(rows // 2 + g * size, rows // 2 + (g + 1) * size) for g in range(few)]
+
+
+def arrow_table(spark, x):
+    import pyarrow as pa
+
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), x.shape[1]).cast(pa.list_(pa.float32()))
+    return spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "vector": flat}))
+
+
+def test_small_clusters_scattered_over_cells_are_found(spark):
+    x, few = scattered(16_000, 20, 16, 20)
+    members, _ = similarity_clusters(arrow_table(spark, x), cell_rows=256)
+    owner = {r["id"]: r["group_id"] for r in members.collect()}
+    there = together = 0
+    for g in few:
+        m = unit(x[g.start : g.stop].mean(axis=0)[None])[0]
+        close = [owner.get(i) for i in g if x[i] @ m >= 0.65]
+        there += len(close)
+        together += max(sum(o == k for o in close) for k in {*close, -1} - {None})
+    assert together >= 0.85 * there  # 0.66 where nothing looks at the unclustered records again
+
+
 def test_clusters_of_nothing(spark):
     for df in (table(spark, DIRT), table(spark, DIRT).where("false"), table(spark, [[1.0] * 20])):
         members, proposed = similarity_clusters(df, dims=20)
