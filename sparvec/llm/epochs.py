@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import bounded, cut
+from ..plans.storage import bounded, cut, shared_dir
 from .philox import with_philox
 
 
@@ -67,6 +67,27 @@ def extend_ledger(ledger: DataFrame, piece: DataFrame, id_col: str, epoch_col: s
     return cut(ledger.unionByName(added), "ledger")
 
 
+def kept_ledger(records: DataFrame, id_col: str, epoch_col: str, payload: str, budget: int, name: str) -> DataFrame:
+    """The ledger called ``name`` in the shared folder, opened on the first run, extended by what ``records`` has new on later ones.
+
+    A run that adds records writes a version of its own; the last complete one counts, and no version is written twice.
+    """
+    spark = records.sparkSession
+    base = f"{shared_dir(spark)}/sparvec/ledgers/{name}-{budget}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/*/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
+    last = max((int(f.getPath().getParent().getName()) for f in found or []), default=-1)
+    if last < 0:
+        ledger = open_ledger(records, id_col, epoch_col, payload, budget)
+    else:
+        old = spark.read.parquet(f"{base}/{last}")
+        ledger = extend_ledger(old, records, id_col, epoch_col, payload, budget)
+        if ledger.count() == old.count():
+            return old
+    ledger.write.parquet(f"{base}/{last + 1}")
+    return spark.read.schema(ledger.schema).parquet(f"{base}/{last + 1}")
+
+
 def select_epoch_sample(ledger: DataFrame, id_col: str, seed: int) -> DataFrame:
     """The ledger's selected records, with their uniform ``u``."""
     return with_philox(ledger, id_col, seed).where(F.col("u") < F.col("rate"))

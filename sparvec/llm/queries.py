@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .clusters import cluster_stats, describe_clusters, similarity_clusters
-from .epochs import open_ledger, select_epoch_sample
+from .epochs import kept_ledger, select_epoch_sample
 from .leaks import exact_leaks, find_leaks
 from .neighbours import distinct_records, exact_neighbours, most_similar, neighbour_pairs
 from .philox import philox_sql
@@ -81,8 +82,10 @@ def p4_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_stable_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger is kept per table, so rates stay frozen between runs; a first run gives what the SQL gives."""
     records = _read(spark, sf_dir, "glove_embeddings").select("vec_id", "term", "piece_no")
-    return select_epoch_sample(open_ledger(records, "vec_id", "piece_no", "term", SAMPLE_BUDGET), "vec_id", SEED)
+    name = "p2-" + hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:32]
+    return select_epoch_sample(kept_ledger(records, "vec_id", "piece_no", "term", SAMPLE_BUDGET, name), "vec_id", SEED)
 
 
 def p5_fixed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparvec.llm.epochs import extend_ledger, open_ledger, select_epoch_sample
 from sparvec.llm.philox import philox_uniform, philox_words, with_philox
+from sparvec.llm.queries import p2_stable_sample
 from sparvec.llm.reservoir import fixed_size_sample, hypergeometric, sequential_selection, split_quota
 from sparvec.llm.topn import top_n
 
@@ -58,6 +59,16 @@ def test_late_records_of_a_closed_epoch_get_its_rate(spark):
     assert {r["rate"] for r in later.where("vec_id >= 1000").collect()} == {rate[0]} and later.count() == 410
 
 
+def test_the_query_keeps_its_choices_when_a_lower_piece_arrives_late(spark, tmp_path):
+    table = str(tmp_path / "glove_embeddings.parquet")
+    pieces(spark, rows_of(0, 1000, 1) + rows_of(1000, 3000, 2)).write.parquet(table)
+    before = {r["vec_id"] for r in p2_stable_sample(spark, str(tmp_path)).collect()}
+    assert before == {r["vec_id"] for r in p2_stable_sample(spark, str(tmp_path)).collect()}
+    pieces(spark, rows_of(3000, 6000, 0) + rows_of(6000, 7000, 3)).write.mode("append").parquet(table)
+    now = {r["vec_id"] for r in p2_stable_sample(spark, str(tmp_path)).collect()}
+    assert before <= now and len(now) > len(before) > 500
+
+
 def test_epoch_sample_cases(spark):
     df = pieces(spark, [(None, "x", 0, 0.0, 0.0, 0), (1, None, None, 0.0, 0.0, 0), (2, None, 1, 0.0, 0.0, 0), (2, "b", 1, 0.0, 0.0, 0), (2, "a", 0, 0.0, 0.0, 0), (3, None, 3, 0.0, 0.0, 0)])
     got = {r["vec_id"]: (r["term"], r["first_epoch"], r["rate"]) for r in open_ledger(df, "vec_id", "piece_no", "term", 10).collect()}
