@@ -4,7 +4,9 @@ Records are routed to cells (see ``units``); a record is indexed in its nearest
 ``probes`` nearest ones. Each shard builds a robust-pruned directed graph (see ``graph``) over the
 records indexed there and answers its queries by beam search; the shards' answers are merged. A
 cell too full for one shard is split by identifier and asked shard by shard, so nothing is dropped.
-Cost grows linearly with the records: shards are bounded and a record asks a fixed number of cells.
+Shards are bounded and a record asks a fixed number of cells. With a positive ``least_cos`` it asks
+every cell that can hold a vector so close, so routing loses no such pair, and the cost grows with the
+cells in reach.
 
 Exact copies (equal unit vectors under several identifiers) are collapsed first, before and after
 the shuffle, so a vector that fills a third of the table is one record in one shard. Copies keep
@@ -85,9 +87,20 @@ def hash_bytes(u: bytes) -> int:
     return xxhash.xxh3_64_intdigest(u) - (1 << 63)
 
 
-def _routed(reps: DataFrame, cells: Cells, probes: int, dims: int, chunks: int) -> DataFrame:
+def _reached(x: np.ndarray, cells: Cells, home: np.ndarray, least_cos: float) -> np.ndarray:
+    """Of every row and cell, whether the cell can hold a vector of cosine ``least_cos`` to the row: the bisector to its own cell lies within that angle."""
+    c = cells.centroids.astype(np.float64)
+    apart = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1) - 2 * c @ c.T, 0))
+    s = x @ cells.centroids.T
+    own = s[np.arange(len(x)), home]
+    return own[:, None] - s <= np.sqrt(1 - min(1.0, least_cos) ** 2) * apart[home] + 1e-4
+
+
+def _routed(reps: DataFrame, cells: Cells, probes: int, dims: int, chunks: int, least_cos: float) -> DataFrame:
     """``(shard, home, ask, id, u)``: each record in its own shard (home) and in every shard it asks.
 
+    Those are the ``probes`` nearest cells and, for a positive ``least_cos``, all that can hold so close a vector.
+
     A shard's queries are split over ``chunks`` tasks, each of which holds the shard's own records.
     """
 
@@ -101,11 +114,12 @@ def _routed(reps: DataFrame, cells: Cells, probes: int, dims: int, chunks: int)
             mix = spread(ids)
             own = first[near[:, 0]] + (mix % shards[near[:, 0]].astype(np.uint64)).astype(np.int64)
             turn = ((mix >> np.uint64(32)) % np.uint64(chunks)).astype(np.int64)
-            for j in range(near.shape[1]):
-                cell = near[:, j]
-                for part in range(int(shards[cell].max())):
-                    rows = np.nonzero(shards[cell] > part)[0]
-                    shard = first[cell[rows]] + part
+            asked = _reached(x, cells, near[:, 0], least_cos) if least_cos > 0 else np.zeros((len(ids), len(shards)), bool)
+            np.put_along_axis(asked, near, True, axis=1)
+            for cell in np.nonzero(asked.any(axis=0))[0]:
+                rows = np.nonzero(asked[:, cell])[0]
+                for part in range(int(shards[cell])):
+                    shard = np.full(len(rows), first[cell] + part)
                     home = shard == own[rows]
                     for chunk in range(chunks):
                         ask = turn[rows] == chunk
@@ -177,7 +191,7 @@ def most_similar(
     rows = held.count()
     reps = held.select(F.col("ids")[0].alias("id"), "u")
     cells = fit_cells(reps, dims, rows, 1, shard_rows, seed=seed)
-    asked = _routed(reps, cells, probes, dims, chunks)
+    asked = _routed(reps, cells, probes, dims, chunks, least_cos)
     asked = asked.repartition(min(cells.total * chunks, MOST_PARTITIONS), "shard")  # about a shard (or chunk of its queries) to a task
     found = asked.groupBy("shard").applyInArrow(_shard_search(dims, k, least_cos, degree, beam), "q long, r long, score double")
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("r").asc())

@@ -45,7 +45,7 @@ def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs this similar lie in one cell or two neighbouring ones, so two probes and a short beam find them."""
+    """Every cell that can hold a vector this similar is asked; a short beam finds it there."""
     return neighbour_pairs(most_similar(_vectors(spark, sf_dir), NEIGHBOURS, least_cos=PAIR_COSINE, **PAIR_SEARCH))
 
 

@@ -182,6 +182,16 @@ def test_neighbours_against_brute_force(spark):
     assert len(truth) >= 15 and pairs <= truth and len(pairs) >= 0.95 * len(truth)
 
 
+def test_close_pairs_across_cells_are_found(spark):
+    rng = np.random.default_rng(8)
+    x = unit(rng.standard_normal((2000, 50)))
+    x = np.concatenate([x, unit(x + 0.035 * rng.standard_normal(x.shape))])
+    found = most_similar(arrow_table(spark, x), 10, least_cos=0.95, shard_rows=100, probes=2, degree=16, beam=16)
+    pairs = {(r["vec_id_a"], r["vec_id_b"]) for r in neighbour_pairs(found).collect()}
+    truth = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.9501, 1)))}
+    assert len(truth) > 1000 and len(truth & pairs) >= 0.995 * len(truth)
+
+
 def test_exact_copies_by_the_tie_rule(spark):
     x = unit(np.random.default_rng(2).standard_normal((60, 20)))
     rows = [*x, *[2.0 * x[7]] * 40, x[7] * 4]  # forty-two copies of one direction
