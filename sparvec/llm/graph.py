@@ -5,7 +5,7 @@ Records are inserted in batches of growing size. A batch's records search the gr
 pruning keeps an edge p -> c only if no nearer kept neighbour n of p satisfies
 alpha * dist(n, c) <= dist(p, c), so edges stay diverse; places left over go to the nearest struck
 out. Back edges are added and overfull nodes are pruned by the same rule. A walk starts at the
-nearest of a bounded set of entry rows, since a greedy walk from one row strays between clusters
+nearest of a bounded set of entry rows (its share grows with the graph up to the bound), since a greedy walk from one row strays between clusters
 that have nothing in common. All queries of a block walk in step, so each step is a few numpy calls.
 
 Distances are squared Euclidean, which for unit vectors is 2 - 2 cos and ranks alike.
@@ -21,7 +21,11 @@ def robust_prune(x: np.ndarray, base: np.ndarray, cand: np.ndarray, dist: np.nda
 
     ``cand`` (B, C) holds candidate rows (-1 for none) and ``dist`` their squared distances to the base (inf for none).
     """
-    order = np.argsort(dist, axis=1, kind="stable")[:, : 2 * degree]  # farther ones would be struck out or not fit
+    # farther ones would be struck out or not fit
+    if dist.shape[1] > 8 * degree:
+        near = np.argpartition(dist, 2 * degree - 1, axis=1)[:, : 2 * degree]
+        cand, dist = np.take_along_axis(cand, near, axis=1), np.take_along_axis(dist, near, axis=1)
+    order = np.argsort(dist, axis=1, kind="stable")[:, : 2 * degree]
     cand, dist = np.take_along_axis(cand, order, axis=1), np.take_along_axis(dist, order, axis=1)
     rows, width = cand.shape
     v = x[np.maximum(cand, 0)]
@@ -49,12 +53,20 @@ def robust_prune(x: np.ndarray, base: np.ndarray, cand: np.ndarray, dist: np.nda
     return out
 
 
+#: (query, row) pairs that a search keeps marks of at once.
+STAMPS = 16_000_000
+
+
 class Graph:
     """Built over ``x`` (unit rows, float32)."""
 
-    def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 24, alpha: float = 1.3, block: int = 256, entries: int = 1024, grow: int = 8, seed: int = 42) -> None:
-        self.x, self.degree, self.beam, self.alpha, self.block = x, degree, beam, alpha, block
+    def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 24, alpha: float = 1.3, block: int = 512, entries: int = 4096, grow: int = 8, seed: int = 42, least: float | None = None) -> None:
+        """``least``: keep the pairs of at least this cosine that insertion meets, see ``met``."""
         n = len(x)
+        block = min(block, max(16, STAMPS // max(1, n)))
+        self.x, self.degree, self.beam, self.alpha, self.block = x, degree, beam, alpha, block
+        self._most = None if least is None else 2.0 - 2.0 * least + 1e-5
+        self._met: list[tuple[np.ndarray, np.ndarray]] = []
         self.slack = degree + degree // 2
         self.edges = np.full((n, self.slack), -1, np.int32)
         self.count = np.zeros(n, np.int64)
@@ -63,7 +75,7 @@ class Graph:
         if n < 2:
             return
         order = np.random.default_rng(seed).permutation(n)
-        first = min(n, entries)
+        first = min(n, 512)
         self.entries = order[:first]
         self._start(order[:first])
         done = first
@@ -71,10 +83,12 @@ class Graph:
             batch = order[done : done + min(max(64, done // grow), block)]
             self._insert(batch)
             done += len(batch)
+            self.entries = order[: min(done, entries)]
 
     def _start(self, rows: np.ndarray) -> None:
         d = 2.0 - 2.0 * (self.x[rows] @ self.x[rows].T)
         np.fill_diagonal(d, np.inf)
+        self._meet(rows, np.broadcast_to(rows, d.shape), d)
         self._set(rows, robust_prune(self.x, rows, np.broadcast_to(rows.astype(np.int32), d.shape), d, self.degree, self.alpha))
 
     def _set(self, rows: np.ndarray, out: np.ndarray) -> None:
@@ -82,6 +96,19 @@ class Graph:
         self.edges[rows, : out.shape[1]] = out
         self.count[rows] = (out >= 0).sum(axis=1)
 
+    def _meet(self, rows: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        if self._most is not None:
+            r, c = np.nonzero(dist <= self._most)
+            self._met.append((rows[r], ids[r, c].astype(np.int64)))
+
+    def met(self) -> tuple[np.ndarray, np.ndarray]:
+        """The close pairs that insertion met, each once, the lower row first."""
+        if not self._met:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = (np.concatenate(c) for c in zip(*self._met))
+        low, high = np.divmod(np.unique(np.minimum(a, b) * len(self.x) + np.maximum(a, b)), len(self.x))
+        return low, high
+
     def _insert(self, batch: np.ndarray) -> None:
         for s in range(0, len(batch), self.block):
             rows = batch[s : s + self.block]
@@ -89,6 +116,8 @@ class Graph:
             # records of one batch cannot find each other in the graph: their nearest are proposed directly
             own = 2.0 - 2.0 * (self.x[rows] @ self.x[rows].T)
             np.fill_diagonal(own, np.inf)
+            self._meet(rows, ids, dist)
+            self._meet(rows, np.broadcast_to(rows, own.shape), own)
             few = min(4, len(rows) - 1)
             mates = np.argpartition(own, few - 1, axis=1)[:, :few] if few > 0 else np.zeros((len(rows), 0), np.int64)
             cand = np.concatenate([ids, seen, rows[mates].astype(np.int32)], axis=1)
@@ -127,7 +156,7 @@ class Graph:
             d[cand < 0] = np.inf
             self._set(rows, robust_prune(self.x, rows, cand, d, self.degree, self.alpha))
 
-    def search(self, q: np.ndarray, beam: int, start: np.ndarray | None = None, trace: bool = False, wide: int = 4):
+    def search(self, q: np.ndarray, beam: int, start: np.ndarray | None = None, trace: bool = False, wide: int = 8):
         """The ``beam`` nearest rows found for each query, nearest first: ids (-1 pads) and squared distances.
 
         ``start``: a row to start from for each query, besides the entries. ``trace``: also the rows expanded.
@@ -138,9 +167,8 @@ class Graph:
         dist = np.full((m, beam), np.inf, np.float32)
         open_ = np.zeros((m, beam), bool)
         stamp = np.full(m * n, -1, np.int32)  # which step's pair reached (query, row) last; -1: not reached
-        near = q @ x[self.entries].T
-        top = min(wide, beam, near.shape[1])
-        doors = self.entries[np.argpartition(-near, top - 1, axis=1)[:, :top]]
+        # the nearest entry of each of a few shares of them: the nearest of all is among these
+        doors = np.stack([e[(q @ x[e].T).argmax(axis=1)] for e in np.array_split(self.entries, min(wide, beam, len(self.entries)))], axis=1)
         begin = list(doors.T.astype(np.int32)) + ([start.astype(np.int32)] if start is not None else [])
         for j, b in enumerate(begin[: beam]):
             cell = rows * n + b

@@ -27,8 +27,8 @@ FIXED_SAMPLE = 2_500
 SUBSET = 1_000
 NEIGHBOURS = 10
 PAIR_COSINE = 0.95
-PAIR_SEARCH = {"shard_rows": 8_192, "probes": 2, "degree": 16, "beam": 16}
-FULL_SEARCH = {"shard_rows": 32_768, "probes": 5, "degree": 28, "beam": 64, "chunks": 3}
+PAIR_SEARCH = {"shard_rows": 16_384, "probes": 3, "degree": 12, "beam": 8}
+FULL_SEARCH = {"shard_rows": 32_768, "probes": 5, "degree": 28, "beam": 64}
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -45,7 +45,7 @@ def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell that can hold a vector this similar is asked; a short beam finds it there."""
+    """Cells within reach of pairs this close are asked, at most three; a short beam finds them there."""
     return neighbour_pairs(most_similar(_vectors(spark, sf_dir), NEIGHBOURS, least_cos=PAIR_COSINE, **PAIR_SEARCH))
 
 

@@ -2,8 +2,9 @@
 
 A vector is usable if it holds exactly ``dims`` finite numbers that are not all zero. Unit vectors
 travel as little-endian float32 bytes: the JVM moves them unopened and numpy reads them in place.
-Cells are the Voronoi regions of centroids fitted on a bounded sample (the ``sample_rows`` rows of
-least identifier hash, the same on every run and partitioning); every row is routed.
+Cells are the Voronoi regions of centroids in two levels, fitted on bounded samples by identifier
+hash (the same on every run and partitioning); their number grows with the rows, so a cell stays
+bounded and routing costs about the square root of their number. Every row is routed.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows the routing centroids are fitted on: a documented bound, whatever the size of the data.
+#: Rows the regions are fitted on: a documented bound, whatever the size of the data.
 SAMPLE_ROWS = 16_384
+#: Rows that a region's cells are fitted on, for each of them and in all.
+CELL_SAMPLE, REGION_SAMPLE = 64, 65_536
+#: Cells that are fitted in one level, and cells at most (26 MB of centroids of 50 numbers to send).
+ONE_LEVEL, MOST_CELLS = 64, 131_072
 
 
 def unit_block(ids: pa.Array, vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,19 +78,18 @@ def usable_units(vectors: DataFrame, id_col: str, vector_col: str, dims: int) ->
 
 
 def distinct_units(units: DataFrame) -> DataFrame:
-    """One row per identifier. Partitioned by identifier, then filtered as it streams: no sort, no copy held."""
+    """One row per identifier: sorted within partitions by identifier, so equal ones follow each other and nothing is held."""
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        last: int | None = None
         for b in batches:
-            keep = []
-            for i, x in enumerate(b.column(0).to_pylist()):
-                if x not in seen:
-                    seen.add(x)
-                    keep.append(i)
-            yield b.take(pa.array(keep, pa.int64())) if len(keep) < b.num_rows else b
+            if b.num_rows:
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                new = np.append(ids[0] != last if last is not None else True, ids[1:] != ids[:-1])
+                last = int(ids[-1])
+                yield b if new.all() else b.filter(pa.array(new))
 
-    return units.repartition("id").mapInArrow(once, "id long, u binary")
+    return units.repartition("id").sortWithinPartitions("id").mapInArrow(once, "id long, u binary")
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -105,27 +109,63 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarra
 
 @dataclass
 class Cells:
-    """Routing centroids, and into how many shards each cell is split so that a shard stays bounded."""
+    """Routing centroids in two levels: region ``i`` of ``top`` holds the cells ``first[i]`` to ``first[i + 1]`` of ``centroids``.
 
-    centroids: np.ndarray
-    shards: np.ndarray
+    A record's home is the nearest cell of its nearest region. How far it is from any other cell is
+    its distance to the bisector between the two, at the level where they part.
+    """
 
-    @property
-    def first(self) -> np.ndarray:
-        """Number of the first shard of each cell."""
-        return np.concatenate([[0], np.cumsum(self.shards)])[:-1]
+    top: np.ndarray
+    centroids: np.ndarray
+    first: np.ndarray
 
     @property
     def total(self) -> int:
-        return int(self.shards.sum())
-
-    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` nearest cells of each row, nearest first."""
-        s = x @ self.centroids.T
-        n = min(n, s.shape[1])
-        part = np.argpartition(-s, n - 1, axis=1)[:, :n]
-        order = np.argsort(-np.take_along_axis(s, part, axis=1), axis=1, kind="stable")
-        return np.take_along_axis(part, order, axis=1)
+        return len(self.centroids)
+
+    def near(self, x: np.ndarray, n: int, reach: float = math.inf) -> np.ndarray:
+        """Of each row its home and at most ``n - 1`` further cells, nearest bisector first and none beyond ``reach``; -1 pads."""
+        m, n = len(x), min(n, self.total)
+        regions, apart = _bisectors(x, self.top, n, reach)
+        cell = np.full((m, regions.shape[1] * n), -1, np.int64)
+        away = np.full(cell.shape, np.inf, np.float32)
+        for j in range(regions.shape[1]):
+            order = np.argsort(regions[:, j], kind="stable")
+            held = regions[order, j]
+            for part in np.split(order, np.nonzero(np.diff(held))[0] + 1):
+                t = regions[part[0], j] if len(part) else -1
+                if t < 0:
+                    continue
+                a, b = self.first[t], self.first[t + 1]
+                if b - a == 1:
+                    cell[part, j * n], away[part, j * n] = a, apart[part, j]
+                    continue
+                inside, gap = _bisectors(x[part], self.centroids[a:b], n, reach)
+                w = inside.shape[1]
+                cell[part, j * n : j * n + w] = np.where(inside >= 0, inside + a, -1)
+                away[part, j * n : j * n + w] = np.maximum(gap, apart[part, j][:, None])
+        order = np.argsort(away, axis=1, kind="stable")[:, :n]
+        return np.where(np.take_along_axis(away, order, axis=1) <= reach, np.take_along_axis(cell, order, axis=1), -1)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return self.near(x, 1)[:, 0]
+
+
+def _bisectors(x: np.ndarray, c: np.ndarray, n: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of ``c`` and at most ``n - 1`` others by distance to the bisector with it, with these distances; -1 beyond ``reach``."""
+    s = x @ c.T
+    rows = np.arange(len(x))
+    own = s.argmax(axis=1)
+    if n == 1 or len(c) == 1:
+        return own[:, None], np.zeros((len(x), 1), np.float32)
+    apart = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1) - 2 * (c @ c.T), 1e-12))
+    gap = (s[rows, own][:, None] - s) / apart[own]
+    gap[rows, own] = -1.0  # comes first
+    n = min(n, len(c))
+    at = np.argpartition(gap, n - 1, axis=1)[:, :n]
+    at = np.take_along_axis(at, np.argsort(np.take_along_axis(gap, at, axis=1), axis=1, kind="stable"), axis=1)
+    gap = np.maximum(np.take_along_axis(gap, at, axis=1), 0.0)
+    return np.where(gap <= reach, at, -1), np.where(gap <= reach, gap, np.inf).astype(np.float32)
 
 
 def spread(ids: np.ndarray) -> np.ndarray:
@@ -136,19 +176,59 @@ def spread(ids: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fit_cells(units: DataFrame, dims: int, rows: int, copies: int, shard_rows: int, *, sample_rows: int = SAMPLE_ROWS, rounds: int = 6, seed: int = 42) -> Cells:
-    """Cells for ``rows`` rows of which each goes to ``copies`` cells, about ``shard_rows`` rows to a shard."""
+def _sample(units: DataFrame, dims: int, rows: int) -> np.ndarray:
+    """Distinct records of least identifier hash among the first ``rows`` by it."""
+    some = units.orderBy(F.xxhash64("id"), "id").limit(rows).toArrow()
+    _, at = np.unique(some.column("id").to_numpy(), return_index=True)
+    return unpacked(some.column("u"), dims)[at]
+
+
+def fit_cells(units: DataFrame, dims: int, rows: int, cell_rows: int, *, rounds: int = 6, seed: int = 42) -> Cells:
+    """Cells of about ``cell_rows`` rows each for ``rows`` rows; their number grows with the rows up to ``MOST_CELLS``, from there their size.
+
+    Up to ``ONE_LEVEL`` cells are fitted on ``SAMPLE_ROWS`` records. Beyond that about the square root of
+    their number are fitted as regions, and every region's cells by a task of its own on
+    ``CELL_SAMPLE`` records a cell (``REGION_SAMPLE`` at most).
+    """
     if rows == 0:
-        return Cells(np.zeros((1, dims), np.float32), np.ones(1, np.int64))
-    k = max(1, math.ceil(rows * copies / shard_rows))
-    some = units.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
-    ids = some.column("id").to_numpy()
-    _, at = np.unique(ids, return_index=True)
-    x = unpacked(some.column("u"), dims)[at]
-    k = min(k, max(1, len(x) // 8))
-    c = spherical_kmeans(x, k, rounds, seed)
-    cells = Cells(c, np.ones(k, np.int64))
-    share = np.bincount(cells.nearest(x, copies).ravel(), minlength=k) / len(x)
-    # twice the fair size is let be; beyond it the cell is split by identifier
-    cells.shards = np.maximum(1, np.ceil(share * rows / (2 * shard_rows))).astype(np.int64)
-    return cells
+        return Cells(np.zeros((1, dims), np.float32), np.zeros((1, dims), np.float32), np.arange(2))
+    k = min(MOST_CELLS, max(1, math.ceil(rows / cell_rows)))
+    x = _sample(units, dims, SAMPLE_ROWS)
+    regions = k if k <= ONE_LEVEL else math.ceil(math.sqrt(k))
+    top = spherical_kmeans(x, min(regions, max(1, len(x) // 8)), rounds, seed)
+    if k <= ONE_LEVEL:
+        return Cells(top, top, np.arange(len(top) + 1))
+    sent = units.sparkSession.sparkContext.broadcast(top)  # at most the square root of MOST_CELLS rows
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(sent.value), np.int64)
+        for b in batches:
+            if b.num_rows:
+                n += np.bincount((unpacked(b.column(1), dims) @ sent.value.T).argmax(axis=1), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["region", "n"])
+
+    sizes = units.select("id", "u").mapInArrow(count, "region int, n long").groupBy("region").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(len(top), np.int64)
+    held[sizes.column("region").to_numpy()] = sizes.column("n").to_numpy()
+    cells = np.maximum(1, np.round(held * (k / rows))).astype(np.int64)
+    share = np.minimum(1.0, np.minimum(CELL_SAMPLE * cells, REGION_SAMPLE) / np.maximum(held, 1))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ids, at = b.column(0).to_numpy(zero_copy_only=False), (unpacked(b.column(1), dims) @ sent.value.T).argmax(axis=1)
+                take = pa.array(np.nonzero(spread(ids).astype(np.float64) / 2.0**64 <= share[at])[0])
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)).take(take), b.column(0).take(take), b.column(1).take(take)], names=["region", "id", "u"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        region = table.column("region")[0].as_py()
+        _, at = np.unique(table.column("id").to_numpy(), return_index=True)
+        v = unpacked(table.column("u"), dims)[at]
+        c = spherical_kmeans(v, int(min(cells[region], max(1, len(v) // 8))), rounds, seed)
+        return pa.table({"region": pa.array([region] * len(c), pa.int32()), "n": pa.array(range(len(c)), pa.int32()), "u": packed(c)})
+
+    fitted = units.select("id", "u").mapInArrow(some, "region int, id long, u binary").groupBy("region").applyInArrow(fit, "region int, n int, u binary")
+    found = fitted.orderBy("region", "n").toArrow()  # at most about MOST_CELLS centroids
+    region, c = found.column("region").to_numpy(), unpacked(found.column("u"), dims)
+    known = np.unique(region)  # a region without records has no cell
+    return Cells(top[known], c, np.searchsorted(region, np.append(known, len(top))))

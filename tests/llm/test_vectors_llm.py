@@ -3,9 +3,9 @@ import pytest
 
 from sparvec.llm.clusters import cluster_stats, describe_clusters, pivot_rounds, similarity_clusters
 from sparvec.llm.graph import Graph
-from sparvec.llm.neighbours import distinct_records, exact_neighbours, most_similar, neighbour_pairs
+from sparvec.llm.neighbours import collapsed_copies, distinct_records, exact_neighbours, most_similar, neighbour_pairs, pair_reach
 from sparvec.llm.subset import lazy_greedy, varied_subset
-from sparvec.llm.units import Cells, packed, spherical_kmeans, unit_block, unpacked
+from sparvec.llm.units import Cells, distinct_units, fit_cells, packed, spherical_kmeans, unit_block, unpacked
 
 SCHEMA = "vec_id long, vector array<float>, id long, u string, c int, n long"
 
@@ -42,9 +42,47 @@ def test_units():
 
 def test_cells_route_to_the_nearest():
     x, _ = grouped(5, 40, 0, 20)
-    cells = Cells(spherical_kmeans(x, 5, 5, 1), np.ones(5, np.int64))
-    s = x @ cells.centroids.T
-    assert np.array_equal(cells.nearest(x, 3), np.argsort(-s, axis=1)[:, :3])
+    c = spherical_kmeans(x, 5, 5, 1)
+    flat = Cells(c, c, np.arange(6))
+    s = x @ c.T
+    assert np.array_equal(flat.home(x), s.argmax(axis=1)) and np.array_equal(np.sort(flat.near(x, 5)), np.tile(np.arange(5), (len(x), 1)))
+    near = flat.near(x, 3, 0.2)
+    for i in range(len(x)):
+        gap = (s[i].max() - s[i]) / np.maximum(np.linalg.norm(c - c[s[i].argmax()], axis=1), 1e-9)
+        want = [j for j in np.argsort(gap) if gap[j] <= 0.2][:3]
+        assert near[i][near[i] >= 0].tolist() == want
+    assert flat.near(x[:0], 3).shape == (0, 3)
+
+
+def test_cells_grow_with_the_rows_and_a_record_asks_as_many(spark, monkeypatch):
+    import sparvec.llm.units as U
+
+    monkeypatch.setattr(U, "ONE_LEVEL", 4)
+    x, _ = grouped(20, 60, 2000, 20, 7)
+    units = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, u binary")
+    some = fit_cells(units, 20, len(x), 150)
+    many = fit_cells(units, 20, len(x), 30)
+    assert 15 <= some.total <= 40 and 80 <= many.total <= 160 and len(many.first) == len(many.top) + 1
+    for cells in (some, many):
+        home = cells.home(x)
+        near = cells.near(x, 3)
+        assert np.array_equal(near[:, 0], home) and (near >= 0).all() and all(len(set(r)) == 3 for r in near.tolist())
+        assert np.bincount(home, minlength=cells.total).max() < 12 * len(x) / cells.total
+    # the number asked does not depend on the number of cells: 200 thousand to a billion rows in cells of 16,384
+    rng = np.random.default_rng(0)
+    q = unit(rng.standard_normal((500, 50)))
+    asked = []
+    for k in (12, 61_036):
+        regions = k if k <= 64 else 248
+        top = unit(rng.standard_normal((regions, 50)))
+        if regions == k:
+            cells = Cells(top, top, np.arange(k + 1))
+        else:
+            sub = unit(np.repeat(top, 246, axis=0) + 0.1 * rng.standard_normal((regions * 246, 50))).astype(np.float32)
+            cells = Cells(top, sub, np.arange(regions + 1) * 246)
+        asked.append((cells.near(q, 3) >= 0).sum(axis=1).mean())
+        assert ((cells.near(q, 3, pair_reach(0.95, 50)) >= 0).sum(axis=1) <= 3).all()
+    assert asked == [3.0, 3.0]
 
 
 def plain_greedy(x, k, saturation, background):
@@ -170,14 +208,12 @@ def test_neighbours_against_brute_force(spark):
     found = most_similar(df, 5, dims=20, shard_rows=400, probes=3, degree=20, beam=48).persist()
     rows = found.collect()
     assert all(r["query_id"] != r["id"] and 1 <= r["rank"] <= 5 for r in rows) and len({(r["query_id"], r["id"]) for r in rows}) == len(rows)
-    split = most_similar(df, 5, dims=20, shard_rows=400, probes=3, degree=20, beam=48, chunks=3)
-    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, rows))
     records = distinct_records(df, dims=20)
     exact = exact_neighbours(records, records, 5, 20, block=300)
     want = {(r["query_id"], r["id"]) for r in exact.collect()}
     assert len(want) == 5 * len(x)
     assert len(want & {(r["query_id"], r["id"]) for r in rows}) / len(want) >= 0.9
-    pairs = {(r["vec_id_a"], r["vec_id_b"]) for r in neighbour_pairs(most_similar(df, 5, least_cos=0.95, dims=20, shard_rows=400, probes=2, degree=16, beam=16)).collect()}
+    pairs = {(r["vec_id_a"], r["vec_id_b"]) for r in neighbour_pairs(most_similar(df, 5, least_cos=0.95, dims=20, shard_rows=400, probes=2, degree=12, beam=8)).collect()}
     truth = {(min(a, b), max(a, b)) for a, b in want if x[a].astype(float) @ x[b].astype(float) >= 0.95}
     assert len(truth) >= 15 and pairs <= truth and len(pairs) >= 0.95 * len(truth)
 
@@ -186,7 +222,7 @@ def test_close_pairs_across_cells_are_found(spark):
     rng = np.random.default_rng(8)
     x = unit(rng.standard_normal((2000, 50)))
     x = np.concatenate([x, unit(x + 0.035 * rng.standard_normal(x.shape))])
-    found = most_similar(arrow_table(spark, x), 10, least_cos=0.95, shard_rows=100, probes=2, degree=16, beam=16)
+    found = most_similar(arrow_table(spark, x), 10, least_cos=0.95, shard_rows=100, probes=3, degree=12, beam=8)
     pairs = {(r["vec_id_a"], r["vec_id_b"]) for r in neighbour_pairs(found).collect()}
     truth = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.9501, 1)))}
     assert len(truth) > 1000 and len(truth & pairs) >= 0.995 * len(truth)
@@ -206,6 +242,19 @@ def test_exact_copies_by_the_tie_rule(spark):
         assert [j for _, j, _ in sorted(got[i])] == [j for j in same if j != i][:3]
 
 
+def test_copies_collapse_wherever_they_lie(spark):
+    x = unit(np.random.default_rng(3).standard_normal((40, 20)))
+    rows = [(i, x[i % 40 if i % 3 else 5].tobytes()) for i in range(900)]
+    rows += rows[:100]  # delivered again
+    units = spark.createDataFrame(rows, "id long, u binary").repartition(7)
+    got = {bytes(r["u"]): (r["ids"], r["more"]) for r in collapsed_copies(units, 4, 20).collect()}
+    want = {}
+    for i, u in rows:
+        want.setdefault(u, set()).add(i)
+    assert got == {u: (sorted(v)[:4], len(v) > 4) for u, v in want.items()}
+    assert sorted(r["id"] for r in distinct_units(units).collect()) == list(range(900))
+
+
 def test_neighbours_of_nothing(spark):
     assert most_similar(table(spark, DIRT), 3, dims=20).count() == 0
     assert most_similar(table(spark, DIRT).where("false"), 3, dims=20).count() == 0
