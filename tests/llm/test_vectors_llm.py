@@ -138,8 +138,8 @@ def test_clusters_are_recovered(spark):
     ids = np.random.default_rng(1).permutation(len(x)) + 100
     rows = [*x * np.random.default_rng(3).uniform(0.1, 50, (len(x), 1)), *DIRT, *x[:40]]
     df = table(spark, rows, [*ids, *range(9000, 9000 + len(DIRT)), *ids[:40]])
-    for cell_rows in (4096, 200):
-        members, proposed = similarity_clusters(df, dims=40, cell_rows=cell_rows)
+    for bounds in ({}, {"cell_rows": 200}, {"cell_rows": 200, "centre_block": 3, "near_cells": 4, "merge_rows": 6}):
+        members, proposed = similarity_clusters(df, dims=40, **bounds)
         got = {}
         for r in members.collect():
             got.setdefault(r["group_id"], set()).add(r["id"])
