@@ -222,7 +222,7 @@ def most_similar(
     reps = held.select(F.col("ids")[0].alias("id"), "u")
     cells = fit_cells(reps, dims, rows, shard_rows, seed=seed)
     asked = _routed(reps, cells, probes, dims, pair_reach(least_cos, dims))
-    asked = asked.repartition(min(cells.total, MOST_PARTITIONS), "shard")  # about a shard to a task
+    asked = asked.repartitionById(min(cells.total, MOST_PARTITIONS), F.col("shard"))  # a shard to a task
     found = asked.groupBy("shard").applyInArrow(_shard_search(dims, k, least_cos, degree, beam), "q long, r long, score double")
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("r").asc())
     if least_cos > 0:  # both sides may have found a pair
