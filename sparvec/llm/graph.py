@@ -60,7 +60,7 @@ STAMPS = 16_000_000
 class Graph:
     """Built over ``x`` (unit rows, float32)."""
 
-    def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 24, alpha: float = 1.3, block: int = 512, entries: int = 4096, grow: int = 8, seed: int = 42, least: float | None = None) -> None:
+    def __init__(self, x: np.ndarray, degree: int = 20, beam: int = 24, alpha: float = 1.3, block: int = 512, entries: int = 8192, grow: int = 8, seed: int = 42, least: float | None = None) -> None:
         """``least``: keep the pairs of at least this cosine that insertion meets, see ``met``."""
         n = len(x)
         block = min(block, max(16, STAMPS // max(1, n)))

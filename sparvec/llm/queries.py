@@ -27,7 +27,7 @@ FIXED_SAMPLE = 2_500
 SUBSET = 1_000
 NEIGHBOURS = 10
 PAIR_COSINE = 0.95
-PAIR_SEARCH = {"shard_rows": 16_384, "probes": 3, "degree": 14, "beam": 12}
+PAIR_SEARCH = {"shard_rows": 16_384, "probes": 3, "degree": 16, "beam": 20}
 FULL_SEARCH = {"shard_rows": 32_768, "probes": 5, "degree": 28, "beam": 64}
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
