@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import cut
+
 QUERY_BLOCK = 4_096
 
 
@@ -59,27 +61,38 @@ def query_blocks(queries: DataFrame, id_col: str, block: int = QUERY_BLOCK) -> I
         yield part.orderBy(id_col).toArrow()
 
 
-def scan(base: DataFrame, payloads: list, kernel: Callable, k: int, ascending: bool = False) -> DataFrame:
+def scan(blocks: Iterator[tuple[object, DataFrame]], kernel: Callable, k: int, ascending: bool = False) -> DataFrame | None:
     """``(query_id, rank, id, score)``: ``kernel(payload, batch)`` gives (query ids, ids, scores) of a batch's best rows.
 
-    One pass over ``base`` per payload; each payload is broadcast.
+    ``blocks``: each block of queries as a payload, which is broadcast, and the table it is held
+    against. One block is planned as it is; of several each is run and its results written before
+    the next is read, so the driver holds one block however many there are. None without a block.
     """
-    spark = base.sparkSession
-    out = None
-    for payload in payloads:
-        sent = spark.sparkContext.broadcast(payload)
+    order = F.col("score").asc() if ascending else F.col("score").desc()
+    best = Window.partitionBy("query_id").orderBy(order, F.col("id").asc())
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def one(payload, base: DataFrame) -> tuple[DataFrame, object]:
+        sent = base.sparkSession.sparkContext.broadcast(payload)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     q, i, s = kernel(sent.value, b)
                     yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
 
         found = base.mapInArrow(run, "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
-    order = F.col("score").asc() if ascending else F.col("score").desc()
-    best = Window.partitionBy("query_id").orderBy(order, F.col("id").asc())
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score"), sent
+
+    held, done = next(blocks, None), None
+    while held is not None:
+        found, sent = one(*held)
+        held = next(blocks, None)
+        if held is None and done is None:
+            return found
+        written = cut(found, "block")
+        sent.destroy()
+        done = written if done is None else done.unionByName(written)
+    return done
 
 
 def empty_result(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,12 +39,11 @@ def _kernel(k: int):
     return best
 
 
-def payloads(queries: DataFrame) -> list:
-    out = []
+def against(queries: DataFrame, base: DataFrame) -> Iterator[tuple[tuple, DataFrame]]:
+    """The query blocks, each held against all of ``base``."""
     for t in query_blocks(queries, "query_id"):
         if t.num_rows:
-            out.append((t.column("query_id").to_numpy(), matrix(t.column("vector"))))
-    return out
+            yield (t.column("query_id").to_numpy(), matrix(t.column("vector"))), base
 
 
 def unit_queries(queries: DataFrame, dims: int) -> DataFrame:
@@ -76,5 +77,6 @@ class ExactIndex:
         """``(query_id, rank, id, score)``: score descending, then id."""
         if k == 0 or self.vectors is None:
             return empty_result(queries)
-        return scan(self.vectors, payloads(unit_queries(queries, self.dims)), _kernel(k), k)
+        found = scan(against(unit_queries(queries, self.dims), self.vectors), _kernel(k), k)
+        return empty_result(queries) if found is None else found
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.vectors import check_vectors, normalize
 from ..plans.storage import cut
 from . import kmeans
-from .blocks import best_pairs, empty_result, fold_dot, lists, matrix, query_blocks, scan
-from .exact import SLACK, unit_queries
+from .blocks import QUERY_BLOCK, best_pairs, empty_result, fold_dot, lists, matrix, query_blocks, scan
+from .exact import SLACK, _kernel, against, unit_queries
+
+#: Folders of a table of lists at most.
+MOST_FOLDERS = 1_024
 
 
 @dataclass(frozen=True)
@@ -36,10 +40,29 @@ def route(q: np.ndarray, centroids: np.ndarray, nprobe: int) -> tuple[np.ndarray
     return order, np.take_along_axis(s, order, axis=1)
 
 
-def probe_payloads(queries: DataFrame, centroids: np.ndarray, nprobe: int, prepare) -> tuple[list, set[int]]:
-    """Per query block: for each probed cell the queries that probe it, as ``prepare(q, coarse dots)`` packs them."""
-    out, probed = [], set()
-    for t in query_blocks(queries, "query_id"):
+def listed(rows: DataFrame, nlist: int) -> DataFrame:
+    """The lists as a written table in folders by cell, so that a search reads the probed ones only.
+
+    Beyond ``MOST_FOLDERS`` lists a folder holds several. A long list is several files: the exchange
+    before the write is rebalanced by Spark, which splits large partitions.
+    """
+    at = F.pmod(F.col("centroid_id"), F.lit(min(nlist, MOST_FOLDERS))).cast("int")
+    return cut(rows.withColumn("folder", at).hint("rebalance", "folder"), "lists", ["folder"])
+
+
+def probed_lists(lists: DataFrame, nlist: int, cells: list[int]) -> DataFrame:
+    """The rows of the probed cells."""
+    out = lists.where(F.col("centroid_id").isin(cells))
+    if "folder" in lists.columns:
+        out = out.where(F.col("folder").isin(sorted({c % min(nlist, MOST_FOLDERS) for c in cells}))).drop("folder")
+    return out
+
+
+def probing(queries: DataFrame, index, nprobe: int, prepare, block: int = QUERY_BLOCK) -> Iterator[tuple[dict, DataFrame]]:
+    """Per query block: for each probed cell the queries that probe it, as ``prepare(q, coarse dots)`` packs them, and the probed lists."""
+    centroids, nlist = index.centroids, index.cfg.nlist
+    nprobe = min(nprobe, nlist)
+    for t in query_blocks(queries, "query_id", block):
         if not t.num_rows:
             continue
         qid, q = t.column("query_id").to_numpy(), matrix(t.column("vector"))
@@ -48,9 +71,7 @@ def probe_payloads(queries: DataFrame, centroids: np.ndarray, nprobe: int, prepa
         for c in np.unique(cells).tolist():
             r, j = np.nonzero(cells == c)
             by_cell[c] = (qid[r], *prepare(q[r], dots[r, j]))
-            probed.add(c)
-        out.append(by_cell)
-    return out, probed
+        yield by_cell, probed_lists(index.lists, nlist, sorted(by_cell))
 
 
 def _list_kernel(k: int):
@@ -90,7 +111,7 @@ class IVFIndex:
             raise ValueError("nlist exceeds the number of vectors")
         unit = cut(vectors.select(F.col("id").cast("long"), normalize(F.col("vector")).alias("vector")), "ivf-unit")
         c, rounds = kmeans.fit_kmeans(unit, kmeans.KMeansConfig(cfg.nlist, cfg.max_iterations, cfg.tolerance, cfg.seed))
-        return cls(cfg, c, cut(kmeans.assign(unit, c), "ivf-lists"), n, rounds)
+        return cls(cfg, c, listed(kmeans.assign(unit, c), cfg.nlist), n, rounds)
 
     def centroid_table(self) -> DataFrame:
         spark = self.lists.sparkSession
@@ -103,10 +124,9 @@ class IVFIndex:
             raise ValueError("nprobe must be positive")
         q = unit_queries(queries, self.cfg.dims)
         base = self.centroid_table().select(F.col("centroid_id").cast("long").alias("id"), F.col("centroid").alias("vector"))
-        from .exact import _kernel, payloads
-
         n = min(nprobe, self.cfg.nlist)
-        return scan(base, payloads(q), _kernel(n), n).withColumnRenamed("id", "centroid_id")
+        found = scan(against(q, base), _kernel(n), n)
+        return (empty_result(queries) if found is None else found).withColumnRenamed("id", "centroid_id")
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
         """``(query_id, rank, id, score)`` from the probed lists; unprobed lists are pruned from the read."""
@@ -114,17 +134,15 @@ class IVFIndex:
             raise ValueError("nprobe must be positive")
         if k == 0:
             return empty_result(queries)
-        packs, probed = probe_payloads(unit_queries(queries, self.cfg.dims), self.centroids, min(nprobe, self.cfg.nlist), lambda q, _: (q,))
-        if not packs:
-            return empty_result(queries)
-        return scan(self.lists.where(F.col("centroid_id").isin(sorted(probed))), packs, _list_kernel(k), k)
+        found = scan(probing(unit_queries(queries, self.cfg.dims), self, nprobe, lambda q, _: (q,)), _list_kernel(k), k)
+        return empty_result(queries) if found is None else found
 
     def cluster_stats(self) -> DataFrame:
         return kmeans.cluster_stats(self.lists, self.cfg.nlist)
 
     def save(self, path: str) -> None:
-        """Lists partitioned by cell (so a probe reads its cells only), centroids and settings beside them."""
-        self.lists.repartition("centroid_id").write.partitionBy("centroid_id").parquet(f"{path}/lists")
+        """Lists in folders by cell (so a probe reads its cells only), centroids and settings beside them."""
+        self.lists.hint("rebalance", "folder").write.partitionBy("folder").parquet(f"{path}/lists")
         self.centroid_table().coalesce(1).write.parquet(f"{path}/centroids")
         spark = self.lists.sparkSession
         spark.createDataFrame([(*asdict(self.cfg).values(), self.size, self.iterations)], "dims int, nlist int, max_iterations int, tolerance double, seed int, size long, iterations int").coalesce(1).write.parquet(f"{path}/settings")
@@ -133,5 +151,5 @@ class IVFIndex:
     def load(cls, spark: SparkSession, path: str) -> "IVFIndex":
         s = spark.read.parquet(f"{path}/settings").first()
         c = spark.read.parquet(f"{path}/centroids").orderBy("centroid_id").toArrow()
-        held = spark.read.parquet(f"{path}/lists").select("id", "vector", F.col("centroid_id").cast("int").alias("centroid_id"))
+        held = spark.read.parquet(f"{path}/lists").select("id", "vector", "centroid_id", "folder")
         return cls(IVFConfig(s["dims"], s["nlist"], s["max_iterations"], s["tolerance"], s["seed"]), matrix(c.column("centroid")), held, s["size"], s["iterations"])

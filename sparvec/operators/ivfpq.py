@@ -15,8 +15,8 @@ from ..plans.storage import cut
 from . import kmeans
 from .blocks import empty_result, lists, matrix, scan
 from .exact import unit_queries
-from .ivf import probe_payloads
-from .pq import PQConfig, ProductQuantizer, encode_block, packed_codes, table_sums, unpacked_codes
+from .ivf import listed, probing
+from .pq import TABLE_BLOCK, PQConfig, ProductQuantizer, encode_block, packed_codes, table_sums, unpacked_codes
 
 
 @dataclass(frozen=True)
@@ -110,15 +110,15 @@ class IVFPQIndex:
                 if b.num_rows:
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), packed_codes(encode_block(matrix(b.column(1)), sent.value))], names=["id", "centroid_id", "codes"])
 
-        return cls(cfg, c, quantizer, cut(rest.mapInArrow(run, "id long, centroid_id int, codes binary"), "ivfpq-lists"), n)
+        return cls(cfg, c, quantizer, listed(rest.mapInArrow(run, "id long, centroid_id int, codes binary"), cfg.nlist), n)
 
     def search(self, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
         if k < 1 or nprobe < 1:
             raise ValueError("k and nprobe must be positive")
-        packs, probed = probe_payloads(unit_queries(queries, self.cfg.dims), self.centroids, min(nprobe, self.cfg.nlist), lambda q, coarse: (self.quantizer.dot_table(q), coarse))
-        if not packs:
-            return empty_result(queries)
-        return scan(self.lists.where(F.col("centroid_id").isin(sorted(probed))), packs, _kernel(k), k)
+        # a query brings a table of m x k numbers for each cell it probes
+        blocks = probing(unit_queries(queries, self.cfg.dims), self, nprobe, lambda q, coarse: (self.quantizer.dot_table(q), coarse), TABLE_BLOCK)
+        found = scan(blocks, _kernel(k), k)
+        return empty_result(queries) if found is None else found
 
     def cluster_stats(self) -> DataFrame:
         return kmeans.cluster_stats(self.lists, self.cfg.nlist)

@@ -16,6 +16,10 @@ from .blocks import empty_result, lists, matrix, query_blocks, scan
 from .exact import unit_queries
 
 
+#: Queries at a time where each brings a table of m x k numbers.
+TABLE_BLOCK = 512
+
+
 @dataclass(frozen=True)
 class PQConfig:
     """``m`` sub-vectors, ``k`` sub-centroids each (at most 256, so a code is a byte)."""
@@ -130,7 +134,11 @@ def packed_codes(codes: np.ndarray) -> pa.Array:
 
 
 def unpacked_codes(column: pa.Array, m: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), m)
+    n = len(column)
+    if n == 0:
+        return np.zeros((0, m), np.uint8)
+    first = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8, n * m, int(first)).reshape(n, m)
 
 
 def decode_block(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -206,11 +214,10 @@ class PQIndex:
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         if k == 0:
             return empty_result(queries)
-        packs = []
-        for t in query_blocks(unit_queries(queries, self.quantizer.cfg.dims), "query_id", 512):
-            if t.num_rows:
-                packs.append((t.column("query_id").to_numpy(), self.quantizer.distance_table(matrix(t.column("vector")))))
-        return scan(self.codes, packs, _adc_kernel(k), k, ascending=True) if packs else empty_result(queries)
+        q = unit_queries(queries, self.quantizer.cfg.dims)
+        blocks = (((t.column("query_id").to_numpy(), self.quantizer.distance_table(matrix(t.column("vector")))), self.codes) for t in query_blocks(q, "query_id", TABLE_BLOCK) if t.num_rows)
+        found = scan(blocks, _adc_kernel(k), k, ascending=True)
+        return empty_result(queries) if found is None else found
 
     def bytes_per_vector(self) -> int:
         return self.quantizer.cfg.m

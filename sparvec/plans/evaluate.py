@@ -20,7 +20,7 @@ from ..operators.ivf import IVFConfig, IVFIndex
 from ..operators.ivfpq import IVFPQConfig, IVFPQIndex
 from ..operators.pq import PQConfig, PQIndex
 
-REPORT = "method string, knobs string, recall double, bytes_per_vector double, build_s double, qps_median double, qps_min double, qps_max double, work double"
+REPORT = "method string, knobs string, recall double, bytes_per_vector double, build_s double, qps_median double, qps_min double, qps_max double, work double, compression double, speedup double"
 
 
 def recall_at_k(exact: DataFrame, approx: DataFrame, queries: DataFrame) -> DataFrame:
@@ -72,10 +72,11 @@ def compression_ratio(dims: int, bytes_per_vector: float) -> float:
 
 
 def evaluate(base: DataFrame, queries: DataFrame, dims: int, k: int, configs: list[tuple], repetitions: int = 1) -> DataFrame:
-    """A report row per setting. ``configs``: ``("exact",)``, ``("ivf", IVFConfig, [nprobe])``, ``("pq", PQConfig)``,
+    """A report row per setting; ``speedup`` is over the exact scan where that was measured before. ``configs``: ``("exact",)``, ``("ivf", IVFConfig, [nprobe])``, ``("pq", PQConfig)``,
     ``("ivfpq", IVFPQConfig, [nprobe])``, ``("hnsw", HNSWConfig, [ef])``; knobs an index cannot take are skipped.
     """
     spark, n = base.sparkSession, queries.count()
+    exact_qps: float | None = None
     exact_index = ExactIndex(dims, base)
     truth = exact_index.search(queries, k).persist()
     rows = []
@@ -86,12 +87,15 @@ def evaluate(base: DataFrame, queries: DataFrame, dims: int, k: int, configs: li
         w = found.agg(F.avg("distance_computations")).first()[0] if "distance_computations" in found.columns else work
         found.unpersist()
         s = sorted(qps_samples(search, n, repetitions))
-        rows.append((method, knobs, r, float(bytes_per_vector), build_s, s[len(s) // 2], s[0], s[-1], None if w is None else float(w)))
+        median = s[len(s) // 2]
+        speedup = 1.0 if method == "exact" else None if exact_qps is None else median / exact_qps
+        rows.append((method, knobs, r, float(bytes_per_vector), build_s, median, s[0], s[-1], None if w is None else float(w), compression_ratio(dims, bytes_per_vector), speedup))
 
     for method, *rest in configs:
         t = time.perf_counter()
         if method == "exact":
             measure("exact", "", lambda: exact_index.search(queries, k), 4 * dims, 0.0, exact_index.size())
+            exact_qps = rows[-1][5]
         elif method == "ivf":
             ivf = IVFIndex.build(base, rest[0])
             took = time.perf_counter() - t
@@ -131,6 +135,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="evaluate")
     p.add_argument("method", choices=["exact", "ivf", "pq", "ivfpq", "hnsw"])
     p.add_argument("--table", help="Parquet table with id and vector columns; else Gaussian vectors")
+    p.add_argument("--text", help="embedding text file: a term and its numbers a line, numbered in order")
     p.add_argument("--count", type=positive, default=100_000)
     p.add_argument("--dims", type=positive, default=128)
     p.add_argument("--queries", type=positive, default=100)
@@ -142,15 +147,23 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     from ..functions.vectors import held_out_split, sample_by_hash
     from ..session import local_session
+    from ..sources.glovetext import read_embedding_text
     from ..sources.randomvectors import random_vectors
 
     try:
         spark = local_session()
-        table = spark.read.parquet(a.table).select("id", "vector") if a.table else random_vectors(spark, a.count + max(10 * a.queries, 5000), a.dims)
+        need = a.count + max(10 * a.queries, 5000)
+        if a.text:
+            table = read_embedding_text(spark, a.text, a.dims, need).select("id", "vector")
+        elif a.table:
+            table = spark.read.parquet(a.table).select("id", "vector")
+        else:
+            table = random_vectors(spark, need, a.dims)
         base, pool = held_out_split(table, "id", a.count)
         queries = sample_by_hash(pool, "id", a.queries).select(F.col("id").alias("query_id"), "vector").persist()
         if queries.count() < a.queries:
             raise ValueError("the table holds fewer rows than the benchmark needs")
+        # The published grids of settings.
         sweep = {
             "exact": [("exact",)],
             "ivf": [("exact",), ("ivf", IVFConfig(a.dims, a.nlist), [1, 4, 8, 10, 12, 14, 16, 32])],

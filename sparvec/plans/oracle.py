@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import BASE_ROWS, CODES, DIMS, K, LABEL, M, NEEDLE, NLIST, NPROBE, PQ_ROUNDS, ROUNDS, SAMPLES, SEED, TOY_EDGES
+from .queries import BASE_ROWS, CODES, COSINE_STOP, DIMS, K, LABEL, M, NEEDLE, NLIST, NPROBE, PQ_ROUNDS, ROUNDS, SAMPLES, SEED, TOY_EDGES
 
 _UNIT = "list_transform(embedding, lambda x: (x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))::FLOAT)"
 _E = f"e AS MATERIALIZED (SELECT vec_id AS id, label, {_UNIT} AS v FROM embeddings)"
@@ -82,6 +82,8 @@ FROM (SELECT c.cid, count(a.id) AS n FROM {_C} c LEFT JOIN a USING (cid) GROUP B
     samples = ", ".join(f"('{m}', {x}::DOUBLE)" for m, xs in SAMPLES for x in xs)
     edges = ", ".join(f"({a}, {b})" for a, b in TOY_EDGES)
     log = "SELECT (row_number() OVER (ORDER BY item_id) - 1)::BIGINT AS rec_id, text"
+    moves = " UNION ALL ".join(f"SELECT {i} AS r, avg(1 - {_dot('a.v', 'b.v')}) AS step FROM c{i} a JOIN c{i + 1} b USING (cid)" for i in range(ROUNDS))
+    after = " UNION ALL ".join(f"SELECT {i} AS r, cid, v FROM c{i + 1}" for i in range(ROUNDS))
     n_all = "(SELECT count(*) FROM embeddings)"
     return {
         "exact_topk_batch": _with(_E, _Q) + _ranked(exact),
@@ -98,7 +100,7 @@ FROM (SELECT c.cid, count(a.id) AS n FROM {_C} c LEFT JOIN a USING (cid) GROUP B
             WHEN len(list_filter(vector, lambda x: x <> 0)) = 0 THEN 'zero_norm' ELSE 'valid' END AS flaw, count(*) AS n FROM glove_embeddings GROUP BY flaw""",
         "subvector_slice": _with(_E) + f"SELECT id, j::INTEGER AS m, v[j * {_W} + 1 : (j + 1) * {_W}]::DOUBLE[] AS part FROM e, range({M}) t(j)",
         "kmeans_centroids": _with(_E, km) + f"SELECT cid, v::DOUBLE[] AS centroid FROM {_C}",
-        "kmeans_cosine_stop_rule": _with(_E, km) + f"SELECT cid, v::DOUBLE[] AS centroid FROM {_C}",
+        "kmeans_cosine_stop_rule": _with(_E, km, f"st AS MATERIALIZED ({moves})", f"stop AS (SELECT coalesce(min(r) FILTER (step < {COSINE_STOP}), {ROUNDS - 1}) AS r FROM st)") + f"SELECT cid, v::DOUBLE[] AS centroid FROM ({after}) JOIN stop USING (r)",
         "nearest_centroid_assignment": _with(_E, km) + "SELECT id, cid FROM a",
         "residual_vectors": _with(_E, km, rest) + "SELECT id, v::DOUBLE[] AS residual FROM r",
         "heldout_split_sample": f"SELECT vec_id AS id FROM embeddings WHERE vec_id >= {BASE_ROWS} ORDER BY md5('{SEED}:' || vec_id), vec_id LIMIT 20",

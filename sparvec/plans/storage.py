@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the plan behind it ends here."""
+def cut(df: DataFrame, name: str = "cut", folders: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, in ``folders`` by these columns, and read it back: the plan behind it ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparvec/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,9 +20,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader  # noqa: F401
 
 MAGIC, VERSION = 0x474F4C52, 1
+# Fixed values of the format: a file header of zeros is version 0, whose records are the same; the record header is id, time, length.
+PLAIN = (0, 0)
 FILE_HEADER = struct.Struct("<II")
 RECORD_HEADER = struct.Struct("<IfI")
 CHECKSUM = 32
+#: Bytes of a micro-batch.
+BATCH_BYTES = 64_000_000
 SCHEMA = "rec_id long, ts float, data binary, checksum binary"
 
 
@@ -32,7 +36,7 @@ def read_records(path: str, start: int = FILE_HEADER.size, verify: bool = True)
         head = f.read(FILE_HEADER.size)
         if len(head) < FILE_HEADER.size:
             return
-        if FILE_HEADER.unpack(head) != (MAGIC, VERSION):
+        if FILE_HEADER.unpack(head) not in ((MAGIC, VERSION), PLAIN):
             raise ValueError(f"{path} is not a record log")
         f.seek(start)
         at = start
@@ -121,9 +125,12 @@ class _StreamReader(SimpleDataSourceStreamReader):
         return {"at": FILE_HEADER.size}
 
     def read(self, start):
+        """At most ``BATCH_BYTES`` at a time and at least one record: the driver holds a micro-batch."""
         rows, at = [], start["at"]
         for at, rec_id, ts, data, checksum in read_records(self.path, start["at"]):
             rows.append((rec_id, ts, data, checksum))
+            if at - start["at"] >= BATCH_BYTES:
+                break
         return iter(rows), {"at": at}
 
     def readBetweenOffsets(self, start, end):

@@ -74,6 +74,11 @@ def test_log_torn_and_corrupt_tails(tmp_path):
     with recordlog.RecordLog(p) as log:
         log.append(b"x")
         assert len(log.read_all()) == 1
+    plain = tmp_path / "p.log"  # a header of zeros
+    recordlog.RecordLog(str(plain)).append(b"one")
+    plain.write_bytes(bytes(8) + plain.read_bytes()[8:])
+    with recordlog.RecordLog(str(plain)) as log:
+        assert log.append(b"two") == 1 and [d for _, _, d in log.read_all()] == [b"one", b"two"]
     bad = tmp_path / "c.log"
     bad.write_bytes(b"notalogfile")
     with pytest.raises(ValueError):
