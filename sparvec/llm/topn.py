@@ -4,7 +4,7 @@ Exact group counts split the input. Light groups (at most ``heavy_rows`` rows, s
 task) are hash-partitioned by group once; duplicate removal and ranking both run on that one
 partitioning. Heavy groups are first reduced to one row per item (hashed by group and item, so a
 hot group is spread), then range-sorted by (group, score, item); the range partition is the salt:
-each partition keeps the N best of every group it holds part of, and a last window over these few
+their number grows with the heavy rows, and each keeps the N best of every group it holds part of, and a last window over these few
 rows decides. Nothing is dropped but rows that cannot rank.
 
 Tie rule: higher score first, then lower item.
@@ -18,9 +18,15 @@ Defined cases
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of heavy groups to a range partition at most, and salts of their keys where the keys are too many to send.
+RANGE_ROWS = 1_000_000
+SALTS = 64
+
 
 def top_n(
     df: DataFrame,
@@ -45,21 +51,22 @@ def top_n(
     def ranked(x: DataFrame) -> DataFrame:
         return x.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n).select("g", "rank", "i", "s")
 
-    heavy = rows.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > heavy_rows).select("g")
-    some = [r["g"] for r in heavy.limit(broadcast_groups + 1).collect()]
-    few = len(some) <= broadcast_groups
-    if few:  # a proven bound: at most broadcast_groups keys
-        keys = df.sparkSession.createDataFrame([(x,) for x in some], heavy.schema)
-        side = F.broadcast(keys)
-    else:
-        side = heavy
-    light = rows.join(side, "g", "left_anti") if some else rows
+    heavy = rows.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > heavy_rows)
+    some = heavy.limit(broadcast_groups + 1).collect()
+    if len(some) <= broadcast_groups:  # a proven bound: at most broadcast_groups keys
+        many = sum(r["c"] for r in some)
+        on, side = ["g"], F.broadcast(df.sparkSession.createDataFrame([(r["g"],) for r in some], heavy.select("g").schema))
+    else:  # the keys are salted, so the rows of a hot group do not meet in one task
+        many = heavy.agg(F.sum("c")).first()[0]
+        on, side = ["g", "salt"], heavy.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)))
+    light = rows.join(side, on, "left_anti") if some else rows
     light = ranked(light.repartition("g").groupBy("g", "i").agg(F.max("s").alias("s")))
     if not some:
         out = light
     else:
-        hot = rows.join(side, "g", "left_semi").groupBy("g", "i").agg(F.max("s").alias("s"))
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hot = rows.join(side, on, "left_semi").groupBy("g", "i").agg(F.max("s").alias("s"))
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(many / RANGE_ROWS))
         hot = hot.repartitionByRange(parts, F.col("g"), F.col("s").desc(), F.col("i")).withColumn("salt", F.spark_partition_id())
         local = Window.partitionBy("g", "salt").orderBy(F.col("s").desc(), F.col("i").asc())
         hot = hot.withColumn("r", F.row_number().over(local)).where(F.col("r") <= n).select("g", "i", "s")
