@@ -2,12 +2,12 @@
 
 Pieces are counted after they arrive; a record belongs to the first piece that delivered it. The
 pieces, each cut into leaves of about ``leaf_rows`` records by a hash of the identifier, hang in a
-binary tree. The sample size is split down the tree: at every node the left part's share is a
+binary tree whose upper part has at most ``NODES`` nodes, each a share of the pieces. The sample size is split down the tree: at every node the left part's share is a
 hypergeometric draw, so every set of k records is equally likely. Each leaf then runs sequential
 selection sampling (accept with quota left / records left) over its records in identifier order.
 
-Only the identifiers, the leaf counts (one small row per ``leaf_rows`` records) and the k chosen
-identifiers move; the payload is read once, by a semi-join on the chosen ones.
+The driver splits over the nodes; a task splits its node over pieces and leaves. Only the
+identifiers, the leaf counts (one small row per ``leaf_rows`` records) and the k chosen identifiers move; the payload is read once, by a semi-join on the chosen ones.
 
 Defined cases
     * rows with a null identifier or piece name no record;
@@ -24,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut
+from ..plans.storage import bounded, cut
 from .philox import philox_uniform
 
+#: Nodes of the upper part of the tree: what the driver sees of the counts.
+NODES = 4_096
+
 
 def _log_ratio(total: int, part: int, draws: int, x: int) -> float:
     """log of C(part, x) C(total - part, draws - x) / C(total, draws), summed from small factors."""
@@ -124,7 +127,6 @@ def fixed_size_sample(
     """``k`` records ``(id_col, *payload, piece_col)``; ``piece_col`` is the first piece of the record."""
     if k < 0:
         raise ValueError("k must not be negative")
-    spark = records.sparkSession
     named = records.where(F.col(id_col).isNotNull() & F.col(piece_col).isNotNull())
     first = named.groupBy(F.col(id_col).alias("id")).agg(F.min(piece_col).alias("piece"))
     first = cut(first, "pieces")
@@ -132,11 +134,21 @@ def fixed_size_sample(
     leafed = first.join(F.broadcast(sizes) if sizes.limit(broadcast_rows + 1).count() <= broadcast_rows else sizes, "piece").select(
         "id", "piece", F.pmod(F.xxhash64("id"), F.col("leaves")).alias("leaf")
     )
-    counts = leafed.groupBy("piece", "leaf").agg(F.count("*").alias("n")).orderBy("piece", "leaf").collect()  # one row per leaf_rows records
-    quotas = split_quota([r["n"] for r in counts], k, seed)
-    taken = [(r["piece"], r["leaf"], q) for r, q in zip(counts, quotas) if q]
-    quota = spark.createDataFrame(taken, f"piece {first.schema['piece'].dataType.simpleString()}, leaf long, quota long")
-    held = leafed.join(F.broadcast(quota) if len(taken) <= broadcast_rows else quota, ["piece", "leaf"])
+    kind = first.schema["piece"].dataType.simpleString()
+    counts = leafed.groupBy("piece", "leaf").agg(F.count("*").alias("n"))
+    counts = cut(counts.withColumn("node", F.pmod(F.xxhash64("piece"), F.lit(NODES)).cast("int")), "leaves")
+    totals = counts.groupBy("node").agg(F.sum("n").alias("n")).orderBy("node").collect()  # at most NODES rows
+    shares = {r["node"]: q for r, q in zip(totals, split_quota([r["n"] for r in totals], k, seed)) if q}
+
+    def split(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("piece", "ascending"), ("leaf", "ascending")])
+        node = table.column("node")[0].as_py()
+        quota = split_quota(table.column("n").to_pylist(), shares.get(node, 0), seed + 2 + node)
+        table = table.select(["piece", "leaf"]).append_column("quota", pa.array(quota, pa.int64()))
+        return table.filter(pa.array([q > 0 for q in quota], pa.bool_()))
+
+    quota = cut(counts.groupBy("node").applyInArrow(split, f"piece {kind}, leaf long, quota long"), "quotas")
+    held = leafed.join(bounded(quota, broadcast_rows), ["piece", "leaf"])
 
     def select(table: pa.Table) -> pa.Table:
         ids = np.sort(table.column("id").to_numpy())
