@@ -17,7 +17,7 @@ Defined cases
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import bounded, cut, shared_dir
@@ -67,25 +67,52 @@ def extend_ledger(ledger: DataFrame, piece: DataFrame, id_col: str, epoch_col: s
     return cut(ledger.unionByName(added), "ledger")
 
 
-def kept_ledger(records: DataFrame, id_col: str, epoch_col: str, payload: str, budget: int, name: str) -> DataFrame:
-    """The ledger called ``name`` in the shared folder, opened on the first run, extended by what ``records`` has new on later ones.
+class Ledger:
+    """A ledger stored under a path. ``extend`` adds what records bring that is new; a row once written never changes.
 
-    A run that adds records writes a version of its own; the last complete one counts, and no version is written twice.
+    Every extension that adds records writes a version of its own; the last complete one counts, and
+    no version is written twice, so a run that is lost half-way leaves the ledger as it was.
     """
+
+    def __init__(self, spark: SparkSession, path: str, id_col: str, epoch_col: str, payload: str, budget: int) -> None:
+        if budget < 1:
+            raise ValueError("budget must be at least 1")
+        self.spark, self.path, self.columns, self.budget = spark, path.rstrip("/"), (id_col, epoch_col, payload), budget
+
+    def _last(self) -> int:
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/_SUCCESS")
+        found = done.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(done)
+        return max((int(f.getPath().getParent().getName()) for f in found or []), default=-1)
+
+    @property
+    def table(self) -> DataFrame | None:
+        """The rows as last stored; None before the first extension."""
+        last = self._last()
+        return None if last < 0 else self.spark.read.parquet(f"{self.path}/{last}")
+
+    def extend(self, records: DataFrame) -> "Ledger":
+        old = self.table
+        if old is None:
+            new = open_ledger(records, *self.columns, self.budget)
+        else:
+            new = extend_ledger(old, records, *self.columns, self.budget)
+            if new.count() == old.count():
+                return self
+        new.write.parquet(f"{self.path}/{self._last() + 1}")
+        return self
+
+    def sample(self, seed: int) -> DataFrame:
+        """The selected records so far."""
+        held = self.table
+        if held is None:
+            raise ValueError(f"nothing is stored in {self.path}")
+        return select_epoch_sample(held, self.columns[0], seed)
+
+
+def kept_ledger(records: DataFrame, id_col: str, epoch_col: str, payload: str, budget: int, name: str) -> DataFrame:
+    """The ledger called ``name`` in the shared folder, extended by what ``records`` has new."""
     spark = records.sparkSession
-    base = f"{shared_dir(spark)}/sparvec/ledgers/{name}-{budget}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/*/_SUCCESS")
-    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
-    last = max((int(f.getPath().getParent().getName()) for f in found or []), default=-1)
-    if last < 0:
-        ledger = open_ledger(records, id_col, epoch_col, payload, budget)
-    else:
-        old = spark.read.parquet(f"{base}/{last}")
-        ledger = extend_ledger(old, records, id_col, epoch_col, payload, budget)
-        if ledger.count() == old.count():
-            return old
-    ledger.write.parquet(f"{base}/{last + 1}")
-    return spark.read.schema(ledger.schema).parquet(f"{base}/{last + 1}")
+    return Ledger(spark, f"{shared_dir(spark)}/sparvec/ledgers/{name}-{budget}", id_col, epoch_col, payload, budget).extend(records).table
 
 
 def select_epoch_sample(ledger: DataFrame, id_col: str, seed: int) -> DataFrame:

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparvec.llm.epochs import extend_ledger, open_ledger, select_epoch_sample
+from sparvec.llm.epochs import Ledger, extend_ledger, open_ledger, select_epoch_sample
 from sparvec.llm.philox import philox_uniform, philox_words, with_philox
 from sparvec.llm.queries import p2_stable_sample
 from sparvec.llm.reservoir import fixed_size_sample, hypergeometric, sequential_selection, split_quota
@@ -69,6 +69,21 @@ def test_the_query_keeps_its_choices_when_a_lower_piece_arrives_late(spark, tmp_
     assert before <= now and len(now) > len(before) > 500
 
 
+def test_replay_in_order_of_arrival_loses_nothing(spark, small, tmp_path):
+    """A ledger opened anew for each part of the arrivals, as a restarted job would."""
+    rows = spark.read.parquet(f"{small}/glove_embeddings.parquet").select("vec_id", "term", "piece_no", F.coalesce(F.unix_timestamp("loaded_at"), F.lit(2**40)).alias("t")).persist()
+    marks = [r[0] for r in rows.selectExpr("explode(percentile_approx(t, array(0.2, 0.5, 0.8, 0.95, 1.0), 100000))").collect()]
+    before, low = set(), -1
+    for mark in marks:
+        ledger = Ledger(spark, str(tmp_path / "ledger"), "vec_id", "piece_no", "term", 100)
+        now = {r["vec_id"] for r in ledger.extend(rows.where((F.col("t") > low) & (F.col("t") <= mark)).drop("t")).sample(42).collect()}
+        assert before <= now
+        before, low = now, mark
+    assert len(before) > 100
+    with pytest.raises(ValueError):
+        Ledger(spark, str(tmp_path / "none"), "vec_id", "piece_no", "term", 100).sample(1)
+
+
 def test_epoch_sample_cases(spark):
     df = pieces(spark, [(None, "x", 0, 0.0, 0.0, 0), (1, None, None, 0.0, 0.0, 0), (2, None, 1, 0.0, 0.0, 0), (2, "b", 1, 0.0, 0.0, 0), (2, "a", 0, 0.0, 0.0, 0), (3, None, 3, 0.0, 0.0, 0)])
     got = {r["vec_id"]: (r["term"], r["first_epoch"], r["rate"]) for r in open_ledger(df, "vec_id", "piece_no", "term", 10).collect()}
@@ -118,6 +133,8 @@ def test_fixed_size_sample(spark):
     assert all(r["term"] == f"t{r['vec_id']}" and r["vector"] == [float(r["vec_id"])] and r["piece_no"] != 9 for r in got)
     assert draw(records(spark, rows[::-1]).repartition(5), 100) == got
     assert len(draw(records(spark, rows), 5000)) == 1000 and draw(records(spark, rows), 0) == [] and draw(records(spark, rows).where("false"), 5) == []
+    many = records(spark, [(i, "t", None, i // 3, 0, 0, 0) for i in range(3000)])  # more pieces than nodes would be with fewer
+    assert len({r["vec_id"] for r in draw(many, 700)}) == 700
     odd = records(spark, [(None, "x", None, 0, 0, 0, 0), (1, None, None, 0, 0, 0, 0), (2, "y", [], None, 0, 0, 0)])
     assert [r["vec_id"] for r in draw(odd, 5)] == [1]
     with pytest.raises(ValueError):
