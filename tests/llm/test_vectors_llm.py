@@ -4,7 +4,7 @@ import pytest
 from sparvec.llm.clusters import cluster_stats, describe_clusters, pivot_rounds, similarity_clusters
 from sparvec.llm.graph import Graph
 from sparvec.llm.neighbours import collapsed_copies, distinct_records, exact_neighbours, most_similar, neighbour_pairs, pair_reach
-from sparvec.llm.subset import lazy_greedy, varied_subset
+from sparvec.llm.subset import lazy_greedy, objective, varied_subset
 from sparvec.llm.units import Cells, distinct_units, fit_cells, packed, spherical_kmeans, unit_block, unpacked
 
 SCHEMA = "vec_id long, vector array<float>, id long, u string, c int, n long"
@@ -100,9 +100,10 @@ def plain_greedy(x, k, saturation, background):
 
 def test_lazy_greedy_equals_greedy():
     x, _ = grouped(4, 12, 25, 16, 3)
-    at, gains = lazy_greedy(x, 15, 0.5)
+    at, gains, stood = lazy_greedy(x, 15, 0.5)
+    assert len(stood) == 15 and (stood > 0).all()
     assert at == plain_greedy(x, 15, 0.5, 0.3) and all(a >= b - 1e-5 for a, b in zip(gains, gains[1:]))
-    assert lazy_greedy(x[:0], 3, 0.5) == ([], []) and len(lazy_greedy(x, 500, 0.5)[0]) == len(x)
+    assert lazy_greedy(x[:0], 3, 0.5)[:2] == ([], []) and len(lazy_greedy(x, 500, 0.5)[0]) == len(x)
 
 
 def test_subset_covers_groups_and_sparse_regions(spark):
@@ -117,6 +118,15 @@ def test_subset_covers_groups_and_sparse_regions(spark):
     assert run(df.where("false")) == [] and len(run(df.where("vec_id < 7"))) == 7
     with pytest.raises(ValueError):
         varied_subset(df, 0)
+    large = [r["vec_id"] for r in varied_subset(df, 200, dims=60, partition_rows=256, final_rows=128).collect()]
+    assert len(large) == len(set(large)) == 200 and max(large) < len(x) and set(range(10)) <= set(label[large].tolist())
+    # near a central greedy pass over all records, and above a random subset
+    mass = np.maximum(x @ x.T - 0.3, 0).sum(axis=1)
+    demand = 0.7 / np.maximum(mass, 0.7)
+    central = x[lazy_greedy(x, 60, 0.5)[0]]
+    by_chance = np.mean([objective(x, x[np.random.default_rng(i).choice(len(x), 60, replace=False)], demand) for i in range(5)])
+    ours = objective(x, x[got], demand)
+    assert ours >= 0.95 * objective(x, central, demand) and ours > by_chance
 
 
 def test_pivots_are_hash_minima():
