@@ -15,7 +15,7 @@ from .leaks import exact_leaks, find_leaks
 from .neighbours import distinct_records, exact_neighbours, most_similar, neighbour_pairs
 from .philox import philox_sql
 from .reservoir import fixed_size_sample
-from .sentences import sentence_units, train
+from .sentences import parse, sentence_units, train
 from .subset import varied_subset
 from .topn import top_n
 
@@ -120,8 +120,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentence_units(documents, train(documents))
+    texts = parse(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sentence_units(texts, train(texts))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from sparvec.llm.bpe import WORD_PATTERN, Encoder, encode_documents, merge_word,
 from sparvec.llm.leaks import PieceIndex, Passages, exact_leaks, find_leaks, least_distance, window_masks
 from sparvec.llm.posts import blocks
 from sparvec.llm.queries import RANK_FILE
-from sparvec.llm.sentences import fit, sentence_units, train
+from sparvec.llm.sentences import FLAGS, Model, _pair, fit, parse, parsed, sentence_units, train
 from sparvec.llm.textnorm import folded, letters, words
 
 RANKS = parse_ranks(open(RANK_FILE, "rb").read())
@@ -154,12 +155,16 @@ def model(spark):
         rows.append((i, "\n\n".join(paras)))
     zh = ["真的吗？！", "它坏了。", "它重3公斤。"]
     rows += [(1000 + i, "\n\n".join("".join(rng.choice(zh) for _ in range(rng.randrange(1, 5))) for _ in range(3))) for i in range(200)]
-    return train(documents(spark, rows))
+    return train(parse(documents(spark, rows)))
+
+
+def units_of(df, model):
+    return sentence_units(parse(df), model)
 
 
 @pytest.mark.parametrize(("text", "units"), FIXED)
 def test_units(spark, model, text, units):
-    ends = [r["end_pos"] for r in sentence_units(documents(spark, [(1, text)]), model).orderBy("unit").collect()]
+    ends = [r["end_pos"] for r in units_of(documents(spark, [(1, text)]), model).orderBy("unit").collect()]
     want, at = [], 0
     for u in units:
         at = text.index(u, at) + len(u)
@@ -170,13 +175,51 @@ def test_units(spark, model, text, units):
 def test_unit_cases(spark, model):
     df = documents(spark, [(1, ""), (2, None), (3, "... !!! 👍"), (None, "It broke."), (4, "x" * 50_000), (5, "It broke. " * 3000)])
     got = {}
-    for r in sentence_units(df, model).collect():
+    for r in units_of(df, model).collect():
         got.setdefault(r["doc_id"], []).append(r["end_pos"])
     assert set(got) == {4, 5} and got[4] == [50_000] and len(got[5]) == 3000
-    assert sentence_units(df.where("false"), model).count() == 0
-    untrained = train(df.where("false"))
-    assert sentence_units(documents(spark, [(1, "It broke.")]), untrained).count() == 1
-    assert fit([]).ends == {}
+    assert units_of(df.where("false"), model).count() == 0
+    untrained = train(parse(df.where("false")))
+    assert units_of(documents(spark, [(1, "It broke. It held.")]), untrained).count() in (1, 2)
+
+
+def test_posteriors_against_all_paths(model):
+    """Forward-backward against the sum over every placing of boundaries."""
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    rows = [r for r in parsed("Dr. No. It broke. Yes. Ok. It held. approx. 5. Then it broke. A. B. C. It held. Dr. Halmer.") if r[0] == 0]
+    g = np.array(rows, np.int64)
+    g[:, FLAGS] |= 8 * rng.integers(0, 2, len(g))  # some more chains
+    new = np.zeros(len(g), bool)
+    new[[0, 6]] = True
+    p, alone, s, n = model.factors(g)
+    linked = (g[:, FLAGS] & 8) > 0
+    want = np.zeros(len(g))
+    total = 0.0
+    for path in product((0, 1), repeat=len(g)):
+        weight = 1.0
+        for i, y in enumerate(path):
+            before = 1 if new[i] else path[i - 1] if linked[i] else 0
+            e = alone[i] if linked[i] and before else p[i]
+            weight *= e * s[i] if y else (1 - e) * n[i]
+        total += weight
+        want += weight * np.array(path)
+    assert linked.sum() >= 3 and np.allclose(model.boundaries(g, new), want / total, atol=1e-9)
+    assert isinstance(model, Model) and len(set(_pair(g[:, 3], g[:, 5]).tolist())) <= len(g)
+
+
+def test_reposted_blocks_count_once(spark, monkeypatch):
+    import sparvec.llm.sentences as S
+
+    rows = [(i, f"It broke at {i} today. She sold the lens.\n\nDr. Halmer paid. It held.") for i in range(60)] + [(100 + i, "Buy. Now. Cheap.") for i in range(50)]
+    held = []
+    monkeypatch.setattr(S, "fit", lambda r, n: held.append((r.tolist(), n.tolist())))
+    texts = parse(documents(spark, rows))
+    for sent in (1_000_000, 0):  # sent to all tasks, or joined
+        monkeypatch.setattr(S, "SENT_BLOCKS", sent)
+        S.train(texts)
+    assert held[0] == held[1] and sum(held[0][1]) == sum(len(parsed(t)) for t in {b for _, t in rows[:60] for b in [t.split("\n\n")[0]]} | {"Dr. Halmer paid. It held.", "Buy. Now. Cheap."})
 
 
 def test_long_runs_take_no_square_time(model):
@@ -192,7 +235,8 @@ def test_long_runs_take_no_square_time(model):
 
 def test_units_of_a_whole_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    rows = sentence_units(docs, train(docs)).collect()
+    texts = parse(docs)
+    rows = sentence_units(texts, train(texts)).collect()
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     by = {}
     for r in rows:
