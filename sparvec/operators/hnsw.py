@@ -144,12 +144,29 @@ class LayeredGraph:
 GRAPH_SCHEMA = "shard int, id long, row int, level int, entry boolean, vector array<float>, links array<array<int>>"
 
 
-def _restore(table: pa.Table, dims: int, m: int) -> tuple[LayeredGraph, np.ndarray]:
+class _StoredLinks:
+    """A graph's links as stored: a node's lists are made when a walk first comes by."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        levels = column.combine_chunks()
+        levels = levels.chunk(0) if isinstance(levels, pa.ChunkedArray) else levels
+        self.nodes, inner = levels.offsets.to_numpy(), levels.values
+        self.levels, self.to = inner.offsets.to_numpy(), inner.values.to_numpy(zero_copy_only=False)
+        self.made: dict[int, list[list[int]]] = {}
+
+    def __getitem__(self, i: int) -> list[list[int]]:
+        if i not in self.made:
+            self.made[i] = [self.to[self.levels[j] : self.levels[j + 1]].tolist() for j in range(self.nodes[i], self.nodes[i + 1])]
+        return self.made[i]
+
+
+def _restore(table: pa.Table, dims: int, m: int, ef: int = 1) -> tuple[LayeredGraph, np.ndarray]:
+    """The graph of a shard's rows; with ``ef`` one that can grow."""
     table = table.sort_by("row")
-    g = LayeredGraph(dims, m, 1)
+    g = LayeredGraph(dims, m, ef)
     g.x = matrix(table.column("vector"))
     g.n = table.num_rows
-    g.links = table.column("links").to_pylist()
+    g.links = _StoredLinks(table.column("links")) if ef == 1 else table.column("links").to_pylist()
     entry = np.nonzero(table.column("entry").to_numpy(zero_copy_only=False))[0]
     g.entry = int(entry[0])
     g.top = len(g.links[g.entry]) - 1
@@ -171,38 +188,57 @@ def _shard_search(sent, dims: int, m: int, k: int, ef: int):
     return search_shard
 
 
+def _placed(vectors: DataFrame, cfg: HNSWConfig, shards: int) -> DataFrame:
+    """``(id, vector, level, shard)``; level and shard depend on the identifier alone."""
+    ident = F.col("id").cast("long")
+    # floor(-ln(1 - u) / ln M), u from the identifier's hash: the same in any order
+    level = F.floor(-F.log(F.lit(1.0) - hash_uniform(cfg.seed, ident)) / F.lit(math.log(cfg.m))).cast("int")
+    shard = F.pmod(F.conv(F.substring(hash_order(cfg.seed, F.lit("shard"), ident), 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int")
+    return vectors.select(ident.alias("id"), normalize(F.col("vector")).alias("vector"), level.alias("level"), shard.alias("shard"))
+
+
+def _grown(old: pa.Table | None, new: pa.Table, cfg: HNSWConfig) -> pa.Table:
+    """A shard's graph with the new rows inserted in order of identifier."""
+    columns = ["shard", "id", "level", "vector"]
+    new = new.sort_by("id").select(columns)
+    if old is None or not old.num_rows:
+        g, rows = LayeredGraph(cfg.dims, cfg.m, cfg.ef_construction), new
+    else:
+        g, _ = _restore(old, cfg.dims, cfg.m, max(2, cfg.ef_construction))
+        g.ef = cfg.ef_construction
+        rows = pa.concat_tables([old.sort_by("row").select(columns).cast(new.schema), new])
+    for v, level in zip(matrix(new.column("vector")), new.column("level").to_pylist()):
+        g.add(v, level)
+    at = range(rows.num_rows)
+    return pa.table(
+        {
+            "shard": rows.column("shard"), "id": rows.column("id"), "row": pa.array(at, pa.int32()), "level": rows.column("level"),
+            "entry": pa.array([i == g.entry for i in at]), "vector": rows.column("vector"), "links": pa.array(g.links, pa.list_(pa.list_(pa.int32()))),
+        }
+    )
+
+
 @dataclass
 class HNSWIndex:
+    """Immutable: ``add`` gives the index that holds the new rows too, a rejected call leaves nothing behind."""
+
     cfg: HNSWConfig
     graph: DataFrame
     size: int
+    shards: int = 1
 
     @classmethod
     def build(cls, vectors: DataFrame, cfg: HNSWConfig) -> "HNSWIndex":
         n = check_vectors(vectors, "vector", cfg.dims)
         shards = cfg.num_shards or max(1, math.ceil(n / cfg.shard_rows))
-        ident = F.col("id").cast("long")
-        # floor(-ln(1 - u) / ln M), u from the identifier's hash: the same in any order
-        level = F.floor(-F.log(F.lit(1.0) - hash_uniform(cfg.seed, ident)) / F.lit(math.log(cfg.m))).cast("int")
-        shard = F.pmod(F.conv(F.substring(hash_order(cfg.seed, F.lit("shard"), ident), 1, 8), 16, 10).cast("long"), F.lit(shards)).cast("int")
-        rows = vectors.select(ident.alias("id"), normalize(F.col("vector")).alias("vector"), level.alias("level"), shard.alias("shard"))
-        dims, m, ef = cfg.dims, cfg.m, cfg.ef_construction
-
-        def build_shard(table: pa.Table) -> pa.Table:
-            table = table.sort_by("id")
-            x, levels = matrix(table.column("vector")), table.column("level").to_pylist()
-            g = LayeredGraph(dims, m, ef)
-            for v, lv in zip(x, levels):
-                g.add(v, lv)
-            count = table.num_rows
-            return pa.table(
-                {
-                    "shard": table.column("shard"), "id": table.column("id"), "row": pa.array(range(count), pa.int32()), "level": table.column("level"),
-                    "entry": pa.array([i == g.entry for i in range(count)]), "vector": table.column("vector"), "links": pa.array(g.links, pa.list_(pa.list_(pa.int32()))),
-                }
-            )
-
-        return cls(cfg, cut(rows.groupBy("shard").applyInArrow(build_shard, GRAPH_SCHEMA), "hnsw"), n)
+        rows = _placed(vectors, cfg, shards)
+        return cls(cfg, cut(rows.groupBy("shard").applyInArrow(lambda new: _grown(None, new, cfg), GRAPH_SCHEMA), "hnsw"), n, shards)
+
+    def add(self, vectors: DataFrame) -> "HNSWIndex":
+        """The index with further ``(id, vector)`` rows, inserted into the graphs as they stand, in order of identifier."""
+        cfg, n = self.cfg, check_vectors(vectors, "vector", self.cfg.dims)
+        held, new = self.graph.groupBy("shard"), _placed(vectors, cfg, self.shards).groupBy("shard")
+        return HNSWIndex(cfg, cut(held.cogroup(new).applyInArrow(lambda old, new: _grown(old, new, cfg), GRAPH_SCHEMA), "hnsw"), self.size + n, self.shards)
 
     def search(self, queries: DataFrame, k: int, ef_search: int = 50) -> DataFrame:
         """``(query_id, rank, id, score, distance_computations)``: the work is summed over the shards."""
@@ -213,15 +249,21 @@ class HNSWIndex:
         if k == 0 or self.size == 0:
             return empty_result(queries).withColumn("distance_computations", F.lit(0).cast("long"))
         dims, m, out = self.cfg.dims, self.cfg.m, None
-        for t in query_blocks(q, "query_id"):
-            sent = queries.sparkSession.sparkContext.broadcast((t.column("query_id").to_numpy(), matrix(t.column("vector"))))
-
-            found = self.graph.withColumnRenamed("shard", "part").groupBy("part").applyInArrow(_shard_search(sent, dims, m, k, ef_search), schema)
-            out = found if out is None else out.unionByName(found)
-        work = self._work(out)
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
-        top = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        return top.join(work, "query_id").select("query_id", "rank", "id", "score", "distance_computations")
+        blocks = query_blocks(q, "query_id")
+        block = next(blocks)
+        while block is not None:  # one block of queries is on the driver at a time
+            sent = queries.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy(), matrix(block.column("vector"))))
+            found = self.graph.withColumnRenamed("shard", "part").groupBy("part").applyInArrow(_shard_search(sent, dims, m, k, ef_search), schema)
+            top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+            top = top.join(self._work(found), "query_id").select("query_id", "rank", "id", "score", "distance_computations")
+            block = next(blocks, None)
+            if block is None and out is None:
+                return top
+            top = cut(top, "block")
+            sent.destroy()
+            out = top if out is None else out.unionByName(top)
+        return out
 
     @staticmethod
     def _work(found: DataFrame) -> DataFrame:

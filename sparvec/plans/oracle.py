@@ -124,6 +124,7 @@ FROM (SELECT c.cid, count(a.id) AS n FROM {_C} c LEFT JOIN a USING (cid) GROUP B
         "qps_summary": f"""SELECT method, median(qps) AS median_mid, list(qps ORDER BY qps)[(len(list(qps)) // 2) + 1] AS median_upper, min(qps) AS qps_min, max(qps) AS qps_max
             FROM (VALUES {samples}) t(method, qps) GROUP BY method""",
         "score_checksum": _with(_E, _Q) + f"SELECT round(sum(s), 4) AS checksum FROM (SELECT query_id, max(s) AS s FROM ({exact}) GROUP BY query_id)",
+        "hnsw_topk_grown": _with(_E, _Q) + _ranked(exact),
         "hnsw_topk_full_beam": _with(_E, _Q) + _ranked(exact),
         "hnsw_unreachable": f"""WITH RECURSIVE g(src, dst) AS (VALUES {edges}), r(id) AS (SELECT 0 UNION SELECT dst FROM r JOIN g ON g.src = r.id)
             SELECT count(*)::BIGINT AS unreachable FROM (SELECT src AS id FROM g UNION SELECT dst FROM g) WHERE id NOT IN (SELECT id FROM r)""",

@@ -195,6 +195,22 @@ def test_hnsw_recall_work_and_shards(spark):
     assert again.stats().first() == one.stats().first() and result(again.search(q, 10, 100)) == result(found)
 
 
+def test_rows_inserted_into_a_built_graph(spark):
+    x = gaussian(900, 16, 7)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    first, rest = spark.createDataFrame(rows[:500], V), spark.createDataFrame(rows[500:], V)
+    q = table(spark, gaussian(20, 16, 12), Q)
+    for shards in (1, 3):
+        cfg = HNSWConfig(16, 16, 80, num_shards=shards)
+        whole, grown = HNSWIndex.build(table(spark, x), cfg), HNSWIndex.build(first, cfg).add(rest)
+        # insertion in order of identifier: the same graph as built at once
+        assert grown.size == 900 and grown.stats().first() == whole.stats().first() and result(grown.search(q, 10, 60)) == result(whole.search(q, 10, 60))
+    small = HNSWIndex.build(first, HNSWConfig(16, num_shards=1))
+    with pytest.raises(ValueError):
+        small.add(table(spark, [[0.0] * 16]))
+    assert small.size == 500
+
+
 def test_graph_finds_every_stored_vector_and_counts_bytes(spark):
     x = gaussian(1000, 16, 7)
     x /= np.linalg.norm(x, axis=1)[:, None]
