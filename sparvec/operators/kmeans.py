@@ -83,7 +83,7 @@ def moved(old: np.ndarray, new: np.ndarray, rule: str) -> float:
 
 def fit_kmeans(vectors: DataFrame, cfg: KMeansConfig) -> tuple[np.ndarray, int]:
     """Centroids (float32) of ``(id, vector)`` rows, and the rounds run. An empty cluster keeps its centroid."""
-    first = sample_by_hash(vectors.select("id", "vector"), "id", cfg.k, cfg.seed).toArrow()
+    first = sample_by_hash(vectors.select("id", "vector"), "id", cfg.k, cfg.seed, vectors.count()).toArrow()
     if first.num_rows < cfg.k:
         raise ValueError("k exceeds the number of vectors")
     c = matrix(first.column("vector")).copy()

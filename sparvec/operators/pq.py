@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import check_vectors, hash_order, normalize
+from ..functions.vectors import check_vectors, first_by_hash, hash_order, normalize
 from ..plans.storage import cut
 from .blocks import empty_result, lists, matrix, query_blocks, scan
 from .exact import unit_queries
@@ -75,7 +75,7 @@ class ProductQuantizer:
             raise ValueError("k exceeds the number of vectors")
         books = np.zeros((cfg.m, cfg.k, cfg.width), np.float32)
         for j in range(cfg.m):
-            first = vectors.select("id", "vector").orderBy(hash_order(cfg.seed, F.lit(j), F.col("id")), "id").limit(cfg.k).toArrow()
+            first = first_by_hash(vectors.select("id", "vector"), hash_order(cfg.seed, F.lit(j), F.col("id")), "id", cfg.k, n).toArrow()
             books[j] = matrix(first.column("vector"))[:, j * cfg.width : (j + 1) * cfg.width]
         live = np.ones(cfg.m, bool)
         done = 0
