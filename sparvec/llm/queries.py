@@ -28,7 +28,7 @@ SUBSET = 1_000
 NEIGHBOURS = 10
 PAIR_COSINE = 0.95
 PAIR_SEARCH = {"shard_rows": 16_384, "probes": 3, "degree": 16, "beam": 20}
-FULL_SEARCH = {"shard_rows": 32_768, "probes": 5, "degree": 28, "beam": 64}
+FULL_SEARCH = {"shard_rows": 32_768, "probes": 5, "degree": 32, "beam": 96}
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 

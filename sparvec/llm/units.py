@@ -176,11 +176,18 @@ def spread(ids: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _sample(units: DataFrame, dims: int, rows: int) -> np.ndarray:
-    """Distinct records of least identifier hash among the first ``rows`` by it."""
-    some = units.orderBy(F.xxhash64("id"), "id").limit(rows).toArrow()
-    _, at = np.unique(some.column("id").to_numpy(), return_index=True)
-    return unpacked(some.column("u"), dims)[at]
+def _sample(units: DataFrame, dims: int, rows: int, wanted: int) -> np.ndarray:
+    """The ``wanted`` distinct records of least identifier hash, of about ``rows``.
+
+    Low hashes alone leave the scan (half as many again as wanted), so no task gathers more with more partitions.
+    """
+    share = min(1.0, 1.5 * wanted / max(1, rows))
+    place = F.shiftrightunsigned(F.xxhash64("id"), 11)  # 53 bits
+    some = units.where(place < int(share * 2**53)) if share < 1.0 else units
+    some = some.select("id", "u", place.alias("place")).toArrow()
+    ids, at = np.unique(some.column("id").to_numpy(), return_index=True)
+    first = np.argsort(some.column("place").to_numpy()[at], kind="stable")[:wanted]
+    return unpacked(some.column("u"), dims)[at[np.sort(first)]]
 
 
 def fit_cells(units: DataFrame, dims: int, rows: int, cell_rows: int, *, rounds: int = 6, seed: int = 42) -> Cells:
@@ -193,7 +200,7 @@ def fit_cells(units: DataFrame, dims: int, rows: int, cell_rows: int, *, rounds:
     if rows == 0:
         return Cells(np.zeros((1, dims), np.float32), np.zeros((1, dims), np.float32), np.arange(2))
     k = min(MOST_CELLS, max(1, math.ceil(rows / cell_rows)))
-    x = _sample(units, dims, SAMPLE_ROWS)
+    x = _sample(units, dims, rows, SAMPLE_ROWS)
     regions = k if k <= ONE_LEVEL else math.ceil(math.sqrt(k))
     top = spherical_kmeans(x, min(regions, max(1, len(x) // 8)), rounds, seed)
     if k <= ONE_LEVEL:
