@@ -13,6 +13,8 @@ from sparvec.sources.glovetext import read_embedding_text
 from sparvec.sources.randomvectors import random_vectors
 
 
+# Fixed values of the scenarios: the two lines of the tiny text file, ten "record_" records, three good ones before 30
+# bytes of garbage, five before a kill.
 def test_text_scan(spark, tmp_path):
     p = tmp_path / "tiny.txt"
     p.write_text("cat 0.5 0.5\n\n  dog \t 0.5  1.0 \n   \nowl 1e-3 -2\nbad x y\n")
