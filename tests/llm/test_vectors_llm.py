@@ -192,6 +192,69 @@ def test_small_clusters_scattered_over_cells_are_found(spark):
     assert together >= 0.85 * there  # 0.66 where nothing looks at the unclustered records again
 
 
+def test_a_cell_of_many_pivots_takes_bounded_memory():
+    import tracemalloc
+
+    from sparvec.llm.clusters import cell_pivots
+
+    rng = np.random.default_rng(4)
+    x = unit(np.repeat(rng.standard_normal((6_000, 20)), 3, axis=0) + 0.02 * rng.standard_normal((18_000, 20)))
+    tracemalloc.start()
+    pivot, _, _ = cell_pivots(np.arange(len(x)), x, 0.9, 0.9, 3, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pivot) > 3_000 and peak < 100e6  # 340 MB and more where all cosines are held at once
+
+
+def test_many_groups_meet_records_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sparvec.llm.clusters import _members
+
+    rng = np.random.default_rng(4)
+    x, g = unit(rng.standard_normal((10_000, 50))), unit(rng.standard_normal((8_192, 50)))
+    g[:5_000] = x[:5_000]
+    tracemalloc.start()
+    b = _members(0.9)(pa.array(range(len(x))), x, [(np.arange(a, a + 4_096), np.stack([g[a : a + 4_096]] * 2, axis=1), np.ones(4_096)) for a in (0, 4_096)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert b.column(1).to_pylist()[:5_000] == list(range(5_000)) and b.column(1).null_count == 5_000 == 10_000 - b.column(3).null_count and peak < 60e6
+
+
+def test_clusters_do_not_depend_on_the_number_of_groups(spark):
+    """More groups than one block or one joining task holds: the same members."""
+    x, _ = scattered(4_000, 12, 20, 16)
+    df = arrow_table(spark, x)
+    got = []
+    for bounds in ({}, {"centre_block": 3, "near_cells": 1, "merge_rows": 4}):
+        members, proposed = similarity_clusters(df, cell_rows=256, **bounds)
+        got.append((sorted(map(tuple, members.collect())), proposed))
+    assert got[0] == got[1] and len({g for g, _, _ in got[0][0]}) > 16
+
+
+def test_leaders_are_the_same_in_one_task_and_in_many(spark):
+    from sparvec.llm.clusters import _far_leaders, _leaders
+
+    rng = np.random.default_rng(8)
+    c, n = rng.permutation(300) * 7, rng.integers(1, 5, 300)
+    a, b = rng.integers(0, 300, (2, 500))
+    up = (n[b] > n[a]) | (n[b] == n[a]) & (c[b] < c[a])
+    low, high, cos = c[a[up]], c[b[up]], np.round(0.8 + 0.2 * rng.random(up.sum()), 1)
+    near = {}
+    for p, q, s in zip(low.tolist(), high.tolist(), cos.tolist()):
+        near.setdefault(p, []).append((-s, q))
+    want = {}
+    for k in sorted(c.tolist(), key=lambda k: (-n[c == k][0], k)):
+        led = sorted(e for e in near.get(k, []) if want[e[1]] == e[1])
+        want[k] = led[0][1] if led else k
+    assert dict(zip(c.tolist(), _leaders(c, n, low, high, cos).tolist())) == want
+    pairs = spark.createDataFrame(list(zip(low.tolist(), high.tolist(), cos.tolist())), "low long, high long, cos double")
+    assert {r["low"]: r["leader"] for r in _far_leaders(pairs).collect()} == {k: v for k, v in want.items() if k != v}
+    assert _far_leaders(pairs.where("false")).count() == 0
+
+
 def test_clusters_of_nothing(spark):
     for df in (table(spark, DIRT), table(spark, DIRT).where("false"), table(spark, [[1.0] * 20])):
         members, proposed = similarity_clusters(df, dims=20)
