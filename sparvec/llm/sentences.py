@@ -17,8 +17,9 @@ says how often it ends a sentence, and expectation maximisation over the gaps in
 that with what follows.
 
 Texts are parsed once, into a written table of gaps; training and segmentation both read that, in
-numpy. All statistics cover all documents; types rarer than ``rare`` of all gaps share the
-statistics of their class, which bounds the model at about 1 / rare types whatever the corpus size.
+numpy. All statistics cover all documents, and no type is dropped however large the corpus: the same
+counts give the same probabilities beside any number of others. The model grows with the distinct
+rows, far slower than the corpus.
 
 Defined cases
     * null and empty texts, and texts without a letter or digit, have no units;
@@ -539,8 +540,8 @@ def _occurrence(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
     return key + rows[is_end, END][number] * 1_000_003
 
 
-def train(texts: DataFrame, rare: float = 2e-6) -> Model:
-    """The model of a corpus of parsed texts (see ``parse``). ``rare``: the share of all gaps below which a type joins its class."""
+def train(texts: DataFrame) -> Model:
+    """The model of a corpus of parsed texts (see ``parse``)."""
     names = ["block", "n", "at"]
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -586,19 +587,8 @@ def train(texts: DataFrame, rare: float = 2e-6) -> Model:
     if not few:
         found = found.join(again.withColumnRenamed("at", "least"), "block", "left").where("least is null or least = at")
     key = ["kind", "a", "ka", "b", "kb", "c", "flags"]
-    held = cut(found.groupBy(*key).agg(F.sum("n").alias("n")), "events")
-    total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1.0, rare * total)
-    if least > 1.0:
-        # a type below the threshold becomes its class; at most 1 / rare types of each side remain
-        for token, kind in (("a", "ka"), ("b", "kb"), ("c", None)):
-            kept = held.groupBy(token).agg(F.sum("n").alias("t")).where(F.col("t") >= least).select(token, F.lit(True).alias("keep"))
-            held = held.join(kept, token, "left").withColumn(token, F.when(F.col("keep"), F.col(token)).otherwise(F.col(kind) if kind else F.lit(0).cast("long"))).drop("keep")
-            held = held.groupBy(*key).agg(F.sum("n").alias("n"))
-        # rare rows of kept types share the row (type before, class after)
-        held = held.withColumn("c", F.when(F.col("n") >= least, F.col("c")).otherwise(F.lit(0).cast("long"))).groupBy(*key).agg(F.sum("n").alias("n"))
-        held = held.withColumn("b", F.when(F.col("n") >= least, F.col("b")).otherwise(F.col("kb"))).groupBy(*key).agg(F.sum("n").alias("n"))
-    t = held.orderBy(*key).toArrow()  # bounded: about (1 + classes) / rare rows of 64 bytes
+    held = found.groupBy(*key).agg(F.sum("n").alias("n"))
+    t = held.orderBy(*key).toArrow()  # the distinct rows, 64 bytes each
     rows = np.zeros((t.num_rows, FLAGS + 1), np.int64)
     for j, c in zip((KIND, A, KA, B, KB, C, FLAGS), key):
         rows[:, j] = t.column(c).to_numpy()

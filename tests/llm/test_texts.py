@@ -222,6 +222,27 @@ def test_reposted_blocks_count_once(spark, monkeypatch):
     assert held[0] == held[1] and sum(held[0][1]) == sum(len(parsed(t)) for t in {b for _, t in rows[:60] for b in [t.split("\n\n")[0]]} | {"Dr. Halmer paid. It held.", "Buy. Now. Cheap."})
 
 
+def test_rare_types_are_kept_in_a_large_corpus(spark, monkeypatch):
+    import pyarrow as pa
+
+    import sparvec.llm.sentences as S
+
+    rare = np.array(parsed("Dr. Halmer paid. It held. Rather odd. It broke."), np.int64)
+    common = np.array(parsed("It broke. It held."), np.int64)
+    texts = []
+    for i in range(300):  # 600,000 gaps in blocks of their own
+        some = np.concatenate([np.repeat(common[:1], 2_000, axis=0), common[-1:]])
+        some[:, 2] = i
+        texts.append(some)
+    held = []
+    monkeypatch.setattr(S, "fit", lambda r, n: held.append((r, n)))
+    for part in ([rare], [rare, *texts]):
+        rows = pa.array([r.astype("<i8").tobytes() for r in part], pa.binary())
+        S.train(spark.createDataFrame(pa.table({"doc_id": pa.array(range(len(part))), "key": pa.array(range(len(part))), "rows": rows})))
+    small, large = ({tuple(x[3:]) for x in r.tolist()} for r, _ in held)
+    assert small == {tuple(x[3:]) for x in rare.tolist()} and small <= large and held[1][1].sum() > 600_000
+
+
 def test_long_runs_take_no_square_time(model):
     from time import perf_counter
 
